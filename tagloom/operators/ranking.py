@@ -95,13 +95,14 @@ def _running(base: DataFrame, groups: list[str], key: str, values: list[str], fa
     if levels <= 1:
         down = Window.partitionBy(*groups).orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
         return base.select(*groups, key, *[F.sum(v).over(down).alias(v) for v in values])
-    parent = base.withColumn("_p", F.floor(F.col(key) / fan))
-    totals = parent.groupBy(*groups, "_p").agg(*[F.sum(v).alias(v) for v in values])
-    above = _running(totals, groups, "_p", values, fan, levels - 1)
-    own = totals.select(*groups, "_p", *[F.col(v).alias(f"_own_{v}") for v in values])
-    offset = above.join(own, [*groups, "_p"]).select(
-        *groups, "_p", *[(F.col(v) - F.col(f"_own_{v}")).alias(f"_off_{v}") for v in values])
-    down = Window.partitionBy(*groups, "_p").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = parent.select(*groups, key, "_p", *[F.sum(v).over(down).alias(v) for v in values])
-    return inside.join(offset, [*groups, "_p"]).select(
+    up = f"_p{levels}"
+    parent = base.withColumn(up, F.floor(F.col(key) / fan))
+    totals = parent.groupBy(*groups, up).agg(*[F.sum(v).alias(v) for v in values])
+    above = _running(totals, groups, up, values, fan, levels - 1)
+    own = totals.select(*groups, up, *[F.col(v).alias(f"_own_{v}") for v in values])
+    offset = above.join(own, [*groups, up]).select(
+        *groups, up, *[(F.col(v) - F.col(f"_own_{v}")).alias(f"_off_{v}") for v in values])
+    down = Window.partitionBy(*groups, up).orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parent.select(*groups, key, up, *[F.sum(v).over(down).alias(v) for v in values])
+    return inside.join(offset, [*groups, up]).select(
         *groups, key, *[(F.col(v) + F.col(f"_off_{v}")).alias(v) for v in values])
