@@ -13,12 +13,12 @@ from .unicode import strip_accents, unescape_entities
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 ODD_SPACE = r"[\t\n\x{0B}\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-# white space that is not already one plain space
-SPACE_RUN = rf" ?{ODD_SPACE}{SPACE}*|  {SPACE}*"
 TAG_STRICT = r"<[A-Za-z/!?][^<>]*>"
 TAG_LOOSE = r"<[^<>]+>"
 MD_LINK = r"!?\[([^\[\]]*)\]\([^()]*\)"
 MD_MARKS = "[*_`~#>]+"
+# marks and control characters go in one pass: both are deleted wherever they stand
+DROPPED = MD_MARKS[:-2] + CONTROL[1:] + "+"
 FORMULA_LEAD = r"^[=+\-@\t\r]"
 #: Cells a CSV reader turns into "missing" in text columns (never in label columns).
 NA_WORDS = (
@@ -32,7 +32,7 @@ CLEANING_VERSION = 2
 
 def squeeze(text: Column) -> Column:
     """Every run of white space becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, ODD_SPACE + "+", " "), " {2,}", " "))
 
 
 def clean_text(text: Column, version: int = CLEANING_VERSION) -> Column:
@@ -45,8 +45,7 @@ def clean_text(text: Column, version: int = CLEANING_VERSION) -> Column:
     out = unescape_entities(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, TAG_STRICT if version == 2 else TAG_LOOSE, " ")
     out = F.regexp_replace(out, MD_LINK, "$1")
-    out = F.regexp_replace(out, MD_MARKS, "")
-    out = F.regexp_replace(out, CONTROL, "")
+    out = F.regexp_replace(out, DROPPED, "")
     return squeeze(out)
 
 

@@ -11,7 +11,7 @@ from ..functions import labels as lb
 from ..functions import marks as mk
 from ..functions import text as tx
 from ..operators import dedupe, labels
-from ..session import InputError
+from ..session import InputError, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,13 +53,21 @@ def prepared_rows(df: DataFrame, spec: LoadSpec) -> DataFrame:
     text = tx.clean_text(tx.assemble(spec.text_columns, spec.weights, df.columns), spec.text_cleaning)
     labels_ = lb.matching(lb.distinct_labels(F.col(f"`{spec.label_column}`"), spec.label_separator), spec.label_filter)
     return df.select(F.col(spec.row_id).alias("row_id"), text.alias("text"), labels_.alias("labels"),
-                     mk.mark_bits(df.columns, spec.synthetic_rows).alias("mark"))
+                     mk.mark_bits(df.columns, spec.synthetic_rows).alias("mark")
+                     # counts the rows read, and keeps later filters from cleaning each text twice
+                     ).observe("rows_read", F.count("*").alias("rows"))
 
 
-def load(df: DataFrame, spec: LoadSpec, authoritative: DataFrame | None = None) -> Loaded:
-    """Run the loader; lazy, nothing is counted here."""
+def load(df: DataFrame, spec: LoadSpec, authoritative: DataFrame | None = None, stage: bool = False) -> Loaded:
+    """Run the loader; lazy unless ``stage``.
+
+    Keys and texts are read by different branches.  ``stage`` writes the cleaned rows to the
+    shared folder first, so that each text is cleaned once and later passes survive lost
+    executors; without it the cleaning runs once per branch.
+    """
     has_marks = any(c in df.columns for c in mk.MARK_COLUMNS)
-    rows = prepared_rows(df, spec).where((F.length("text") >= spec.min_text_length) & (F.size("labels") > 0))
+    ready = prepared_rows(df, spec)
+    rows = (cut_lineage(ready) if stage else ready).where((F.length("text") >= spec.min_text_length) & (F.size("labels") > 0))
     excluding = spec.synthetic_rows == "exclude"
     if spec.drop_duplicates or has_marks:
         rows = rows.withColumn("key", tx.duplicate_key(F.col("text")))
