@@ -99,10 +99,10 @@ def select_vocabulary(freq: DataFrame, n_docs: Column | int, spec: FeatureSpec =
     for block, limit in spec.caps().items():
         # a top-k per task, merged: never more than ``limit`` rows from any task
         ties = (judged.where((F.col("block") == block) & (F.col("cf") == F.col("edge")))
-                .withColumn("_room", limit - F.coalesce("taken", F.lit(0))))
+                .withColumn("_room", limit - F.coalesce("taken", F.lit(0))).orderBy("term").limit(limit))
         order = Window.partitionBy("block").orderBy("term")
         picked = picked.unionByName(ties.withColumn("_r", F.row_number().over(order))
-                                    .where((F.col("_r") <= limit) & (F.col("_r") <= F.col("_room")))
+                                    .where(F.col("_r") <= F.col("_room"))
                                     .select("block", "term", "df"))
     column = F.row_number().over(Window.partitionBy("block").orderBy("term")) - 1  # at most the cap per block
     return picked.select("block", "term", "df",
