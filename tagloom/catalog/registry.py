@@ -8,7 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "labels", "dedupe", "sources", "provenance", "splits", "stats", "features", "scoring")
+MODULES = ("text", "labels", "dedupe", "sources", "provenance", "splits", "stats", "features", "scoring",
+           "thresholds", "fitting")
 
 
 class Catalog:

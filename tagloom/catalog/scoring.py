@@ -240,9 +240,9 @@ vcounts AS (SELECT doc_id, 'word' AS block, term, count(*) AS tf FROM (SELECT do
 
 @add("k12_word_importance", f"""WITH {model_sql(WORDS_ONLY, _WORD)}, {_VARIANTS}, {score_sql('vp', "SELECT concat(doc_id, '|', v) AS doc_id FROM wv", 'vcounts')},
 best AS (SELECT doc_id, label FROM (SELECT w.doc_id, p.label, row_number() OVER (PARTITION BY w.doc_id ORDER BY round(p.proba, 9) DESC, p.label) AS rk FROM wv w JOIN vp p ON p.doc_id = concat(w.doc_id, '|0') WHERE w.v = 0) WHERE rk <= 2),
-imp AS (SELECT w.doc_id, b.label, w.v, w.word, round(base.proba - p.proba, 4) AS impact FROM best b JOIN wv w ON w.doc_id = b.doc_id AND w.v > 0
+imp AS (SELECT w.doc_id, b.label, w.v, w.word, round(base.proba - p.proba, 9) AS impact FROM best b JOIN wv w ON w.doc_id = b.doc_id AND w.v > 0
   JOIN vp p ON p.doc_id = concat(w.doc_id, '|', w.v) AND p.label = b.label JOIN vp base ON base.doc_id = concat(w.doc_id, '|0') AND base.label = b.label)
-SELECT doc_id AS row_id, label, round(sum(impact), 2) AS total, count(*) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY impact DESC, v) AS rn FROM imp) WHERE rn <= 5 GROUP BY ALL""")
+SELECT doc_id AS row_id, label, round(sum(impact), 5) AS total, count(*) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY impact DESC, v) AS rn FROM imp) WHERE rn <= 5 GROUP BY ALL""")
 def k12(spark, sf):
     model = log_odds_model(spark, sf, WORDS_ONLY)
     rows = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
@@ -250,8 +250,8 @@ def k12(spark, sf):
     chosen = base.select("row_id", F.posexplode(F.slice(de.ranked(F.transform("scores", lambda s: F.struct(
         s["label"].alias("label"), F.round(s["proba"], 9).alias("proba")))), 1, 2)).alias("at", "s")) \
         .select("row_id", "s.label", (F.col("at") + 1).alias("rank"))
-    words = op.word_importance(rows, chosen, model)
-    return words.groupBy("row_id", "label").agg(F.round(F.sum("impact"), 2).alias("total"), F.count("*").alias("words"))
+    words = op.word_importance(rows, chosen, model, digits=9)
+    return words.groupBy("row_id", "label").agg(F.round(F.sum("impact"), 5).alias("total"), F.count("*").alias("words"))
 
 
 @add("k13_full_score_table", f"""WITH {model_sql(SPEC)}, {_SCORED} SELECT doc_id, label, name, round(proba, 5) AS confidence,
