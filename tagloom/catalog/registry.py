@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("text", "labels", "dedupe", "sources", "provenance", "splits", "stats", "features", "scoring",
-           "thresholds", "fitting", "metadata")
+           "thresholds", "fitting", "streams", "metadata")
 
 
 class Catalog:
