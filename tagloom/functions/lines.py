@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
+from .bind import bind
 from .text import CONTROL, MD_LINK, TAG_STRICT, letter_ratio, words
 from .unicode import compose, unescape_entities
 
@@ -40,7 +41,7 @@ def strip_markup(raw: Column) -> Column:
     # a run stays when it is a rule of one repeated mark, or sits inside a word
     rule = rf"({MARK})\1{{3,}}(?!{MARK})"
     inside = rf"(?<={ALNUM})(?:_+|{MARK}){ALNUM}"
-    out = F.regexp_replace(out, rf"(?<!{MARK})(?!{rule})(?!{inside}){MARK}++", "")
+    out = F.regexp_replace(out, rf"(?<!{MARK})(?={MARK})(?!{rule})(?!{inside}){MARK}++", "")
     return F.regexp_replace(unescape_entities(out), CONTROL, "")
 
 
@@ -60,23 +61,25 @@ def opens_lower(text: Column) -> Column:
 
 def capitalised(text: Column) -> Column:
     """First letter in upper case when the text opens in lower case."""
-    head = F.regexp_extract(text, r"^[^\p{L}]*", 0)
-    at = F.length(head)
-    lifted = F.concat(head, F.upper(F.substr(text, at + 1, F.lit(1))), F.substr(text, at + 2))
-    return F.when(opens_lower(text), lifted).otherwise(text)
+    def lifted(t: Column) -> Column:
+        at = F.length(F.regexp_extract(t, r"^[^\p{L}]*", 0))
+        upper = F.upper(F.substr(t, at + 1, F.lit(1)))
+        return F.when(opens_lower(t), F.concat(F.left(t, at), upper, F.substr(t, at + 2))).otherwise(t)
+
+    return bind(text, lifted)
 
 
 def is_boilerplate(line: Column, stopwords: Sequence[str] = lx.STOPWORDS) -> Column:
     """Chrome of a page: a stock phrase in a short line, a reference entry, or a menu line."""
-    lowered = F.lower(line)
     phrase = "|".join(re.escape(p) for p in lx.BOILERPLATE_PHRASES)
-    tokens = words(lowered)
     menu = F.array(*[F.lit(w) for w in lx.MENU_WORDS])
     known = F.array(*[F.lit(w) for w in (*lx.MENU_WORDS, *stopwords)])
-    return (((F.length(line) <= 200) & lowered.rlike(phrase))
-            | line.rlike(lx.REFERENCE_LINE)
-            | (F.size(tokens).between(1, 4) & F.arrays_overlap(tokens, menu)
-               & (F.size(F.array_except(tokens, known)) == 0)))
+
+    def menu_line(tokens: Column) -> Column:
+        return F.size(tokens).between(1, 4) & F.arrays_overlap(tokens, menu) & (F.size(F.array_except(tokens, known)) == 0)
+
+    return (((F.length(line) <= 200) & F.lower(line).rlike(phrase)) | line.rlike(lx.REFERENCE_LINE)
+            | bind(words(F.lower(line)), menu_line))
 
 
 def is_list_item(line: Column) -> Column:

@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 NON_ASCII = r"[^\x{00}-\x{7F}]"
 COMBINING = r"[\x{300}-\x{36F}]"
 
@@ -75,7 +77,7 @@ def compose(text: Column) -> Column:
         return F.aggregate(found, value, lambda acc, pair: F.replace(
             acc, pair, F.coalesce(F.element_at(table, pair), pair)))
 
-    return F.when(text.rlike(COMBINING), one_pass(one_pass(text))).otherwise(text)
+    return bind(text, lambda t: F.when(t.rlike(COMBINING), bind(one_pass(t), one_pass)).otherwise(t))
 
 
 @lru_cache(maxsize=1)
@@ -123,5 +125,7 @@ def unescape_entities(text: Column) -> Column:
                 .when(old != "", F.concat(F.element_at(names, old), F.substr(part, F.length(old) + 1)))
                 .otherwise(F.concat(F.lit("&"), part)))
 
-    decoded = F.array_join(F.transform(F.split(text, "&"), piece), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decoded(value: Column) -> Column:
+        return F.array_join(F.transform(F.split(value, "&"), piece), "")
+
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
