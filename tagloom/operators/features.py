@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ngrams as ng
-from ..session import InputError, broadcast_within
+from ..session import InputError, broadcast_within, cut_lineage
 from .ranking import running_sums
 
 
@@ -82,7 +82,8 @@ def select_vocabulary(freq: DataFrame, n_docs: Column | int, spec: FeatureSpec =
     found on the histogram of frequencies; only the terms at the cut frequency are ordered.
     """
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    able = freq.where((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * n))
+    # stored once: the histogram, the sure terms and the ties all read it
+    able = cut_lineage(freq.where((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * n)))
     hist = able.groupBy("block", "cf").agg(F.count("*").alias("k"))
     upto = running_sums(hist, ["block"], "cf", ["k"])
     cap = F.lit(None)
