@@ -10,7 +10,8 @@ from tests.oracle_check import compare
 
 SQL = entry.oracle_sql()
 # fits are covered by tests/test_fit.py; here only what must equal SQL
-EMPTY_AT_SMALLEST = {"a3_rare_labels", "h7_exhaustive_cuts"}
+# no such rows in the smallest tables, in either engine
+EMPTY_AT_SMALLEST = {"a3_rare_labels", "h7_exhaustive_cuts", "j2_conflicting_duplicates"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
