@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import quality
+from tagloom.llm import bpe, quality
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(measured, quality.fences(quality.sketches(measured)))
     counts = [F.col("m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("doc_id", *counts, "base_failed", "kept")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_bpe_round_trip")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens, and digests of the ids and of the text decoded from them."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
