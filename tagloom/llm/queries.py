@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, quality
+from tagloom.llm import bpe, langid, quality
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,16 @@ def vocabulary(name: str) -> str:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens, and digests of the ids and of the text decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def left_over(parts: int):
+    """Remainder of the digest of the id's text; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by models learnt from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(left_over(5) != 0), vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", (left_over(5) == 0).alias("held_out"), "lang_pred", "score")
