@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, langid, quality
+from tagloom.llm import bpe, langid, lm, quality
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(left_over(5) != 0), vocabulary("piece_bpe_32k.model"))
     return langid.predict(docs, model).select("doc_id", (left_over(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_lm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document under the model and under add-one unigrams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (left_over(7) == 2).alias("held_out"))
+    counts, voc, model = lm.learn(docs.where(~F.col("held_out")))
+    scored = lm.score(docs, counts, voc, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"),
+                         "base_score", "score")
