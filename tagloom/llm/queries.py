@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, langid, lm, quality
+from tagloom.llm import bpe, langid, lm, near, quality
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(docs, counts, voc, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"),
                          "base_score", "score")
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of each document, on sets of two-word shingles."""
+    return near.groups_of(table(spark, sf_dir, "documents"), width=2, percent=80)
