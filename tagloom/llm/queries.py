@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, langid, lm, near, quality
+from tagloom.llm import bpe, langid, lm, near, quality, toxic
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of each document, on sets of two-word shingles."""
     return near.groups_of(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document by a machine that four fifths of the labelled documents train."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxic.learn(docs.where(left_over(5) != 0), table(spark, sf_dir, "labels"))
+    score = F.col("_toxic_score")
+    return toxic.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (left_over(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
