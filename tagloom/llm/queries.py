@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, langid, lm, near, quality, toxic
+from tagloom.llm import bpe, langid, licenses, lm, near, quality, toxic
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.col("_toxic_score")
     return toxic.scored(docs.select("doc_id", "text"), model).select(
         "doc_id", (left_over(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases, and all license labels, of each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
