@@ -13,8 +13,8 @@ def _toward_min(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
     # larger neighbours move to the smallest of the neighbourhood
-    large = (both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-             .where("a != b").distinct())
+    large = (links.select(F.col("b").alias("a"), F.col("a").alias("c")).join(low, "a")
+             .select(F.col("c").alias("a"), F.col("low").alias("b")))
     # a node and its smaller neighbours move to the smallest of them
     least = large.groupBy("a").agg(F.min("b").alias("low"))
     small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
@@ -25,15 +25,27 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); the root is the smallest node it reaches.
 
     The number of steps grows with the logarithm of the longest path.  Every step is written out, so a
-    lost executor costs one step.
+    lost executor costs one step.  It ends when no node that links point to has a link of its own and no
+    node has two.
     """
-    now = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    now = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    done = now.isEmpty()
+    while not done:
         now = staged(_toward_min(now))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+            now.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        busy = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        done = busy.where("out > 1 or out = 1 and into = 1").isEmpty()
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def nearby(links: DataFrame, steps: int = 2) -> DataFrame:
+    """``node, root`` after a few steps only: equal roots mean one component, unequal ones mean nothing."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    roots = both.groupBy("node").agg(F.least("node", F.min("other")).alias("root"))
+    for _ in range(steps - 1):
+        far = both.join(roots.select(F.col("node").alias("other"), "root"), "other")
+        roots = far.groupBy("node").agg(F.min("root").alias("root"))
+    return roots

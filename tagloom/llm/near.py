@@ -8,8 +8,8 @@
    at least one hash is shared and the signatures agree well enough (four standard errors below the
    threshold are allowed).  Sorting splits a hot region over tasks; candidates per node are bounded by
    the method, not cut from a longer list.
-3. Links are confirmed exactly, first the two most alike candidates of each node, then those that would
-   still join two components.
+3. Links are confirmed exactly, first the two most alike candidates of each node, then those whose ends
+   are not yet known to be in one component.
 4. Dense regions, where the windows hold a small part of the neighbours: in every region of equal
    PIVOT_DEPTH hashes the node with most confirmed links is compared with all members outside its
    component.  This is repeated while it finds links.  So a text that many copies resemble, while the
@@ -37,7 +37,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, FloatType, LongType, StructField, StructType
 
 from tagloom.llm import words as W
-from tagloom.llm.graph import components
+from tagloom.llm.graph import components, nearby
 from tagloom.llm.staging import staged
 
 TREES = 16
@@ -254,13 +254,13 @@ def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, perc
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("likeness"), "a", "b"))
     first = staged(ends.withColumn("rank", rank).where("rank <= 2").select("a", "b").distinct())
     links = staged(confirmed(first, sets, percent))
+    partly = staged(nearby(links))
+    rest = across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), partly)
+    links = links.union(staged(confirmed(rest.union(pivots(near, links, partly, percent)), sets, percent)))
     roots = staged(components(links))
-    rest = across(pairs.join(first, ["a", "b"], "left_anti"), roots)
-    more = staged(confirmed(rest, sets, percent))
-    while not more.isEmpty():
-        links = staged(links.union(more))
+    while not (more := staged(confirmed(pivots(near, links, roots, percent), sets, percent))).isEmpty():
+        links = links.union(more)
         roots = staged(components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-        more = staged(confirmed(pivots(near, links, roots, percent), sets, percent))
     return roots
 
 
