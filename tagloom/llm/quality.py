@@ -26,6 +26,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tagloom.llm import words as W
+from tagloom.llm.staging import staged
 
 #: measures: parts in a thousand of (numerator, denominator), and the slack added to the learnt fence
 MEASURES = {
@@ -207,3 +208,17 @@ def judged(measured: DataFrame, fence_table: DataFrame) -> DataFrame:
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source, m`` per row."""
     return docs.select("doc_id", "lang", "source", measures(F.col("text")).alias("m"))
+
+
+#: fences are sent to every task only while they take up to this many bytes
+MAX_SENT = 32 << 20
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``text, lang, source`` and others) that the base rules and the learnt fences keep."""
+    measured = staged(docs.select("lang", "source", measures(F.col("text")).alias("m")))
+    table = staged(fences(sketches(measured)))
+    size = table.agg(F.sum(500 + 4 * (F.length(F.coalesce("lang", F.lit(""))) + F.length(F.coalesce("source", F.lit("")))))).first()[0]
+    rows = docs.select(F.struct("*").alias("row"), "lang", "source", measures(F.col("text")).alias("m"))
+    kept = judged(rows, F.broadcast(table) if (size or 0) <= MAX_SENT else table).where("kept")
+    return kept.select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, langid, licenses, lm, near, packing, quality, topk, toxic
+from tagloom.llm import bpe, chat, langid, licenses, lm, near, packing, quality, topk, toxic
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,55 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands: bin, offset and the bin's final length."""
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+#: what the calls of the query below may carry
+ASK_SCHEMAS = """
+SELECT * FROM VALUES
+  ('ask', 'query', 'string', true, 1D, 400D), ('ask', 'words', 'integer', true, 1D, 60D),
+  ('follow_up', 'query', 'string', true, 1D, 400D), ('follow_up', 'words', 'integer', true, 1D, 60D),
+  ('follow_up', 'previous', 'string', true, 1D, null), ('follow_up', 'turn', 'integer', false, 2D, 6D)
+  AS t(tool, field, type, required, low, high)
+"""
+
+
+@query("op1_tool_calls", sql=r"""
+WITH c AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id FROM conversations),
+calls AS (SELECT *, CASE WHEN turn < 2 THEN 'ask' ELSE 'follow_up' END AS tool, conv_id || ':' || (turn - 2) AS previous,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM c WHERE role = 'user'),
+results AS (SELECT conv_id || ':' || (turn - 1) AS id, conv_id, turn, text FROM c WHERE role = 'assistant'),
+checked AS (SELECT *, concat_ws(',', CASE WHEN length(text) < 1 OR length(text) > 400 THEN 'range:query' END,
+                 CASE WHEN tool = 'follow_up' AND turn > 6 THEN 'range:turn' END,
+                 CASE WHEN words < 1 OR words > 60 THEN 'range:words' END) AS errors FROM calls),
+chain AS (SELECT a.id, count(b.id) AS level FROM calls a LEFT JOIN calls b
+   ON b.conv_id = a.conv_id AND b.turn < a.turn AND (a.turn - b.turn) % 2 = 0
+   AND (SELECT count(*) FROM calls d WHERE d.conv_id = a.conv_id AND d.turn >= b.turn AND d.turn < a.turn AND (a.turn - d.turn) % 2 = 0)
+       = (a.turn - b.turn) / 2 GROUP BY a.id)
+SELECT k.conv_id AS chat_id, k.id AS call_id, CAST(l.level AS INTEGER) AS level, k.turn AS position, tool,
+       CASE WHEN errors <> '' THEN 'invalid' WHEN r.id IS NULL THEN 'no_result' ELSE 'ok' END AS status, errors,
+       '{"arguments":' || CASE WHEN tool = 'ask' THEN CAST(json_object('query', k.text, 'words', words) AS VARCHAR)
+            ELSE CAST(json_object('previous', previous, 'query', k.text, 'turn', k.turn, 'words', words) AS VARCHAR) END || ',"id":"' || k.id
+       || '","name":"' || tool || '"' || CASE WHEN r.id IS NULL THEN '}' ELSE ',"result":' || CAST(to_json(r.text) AS VARCHAR) || '}' END AS message
+FROM checked k LEFT JOIN results r ON r.id = k.id JOIN chain l ON l.id = k.id
+UNION ALL
+SELECT r.conv_id, r.id, NULL, r.turn, NULL, 'orphan', '', CAST(json_object('id', r.id, 'result', r.text) AS VARCHAR)
+FROM results r WHERE r.id NOT IN (SELECT id FROM calls)
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as calls, the assistant turns after them as their results, each call after the one before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+    def at(turn):
+        return F.concat_ws(":", "conv_id", turn)
+
+    later = F.col("turn") >= 2
+    arguments = F.to_json(F.struct(
+        F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.col("text").alias("query"),
+        F.when(later, F.col("turn")).alias("turn"), F.when(later, at(F.col("turn") - 2)).alias("previous")))
+    asked = turns.where("role = 'user'")
+    calls = asked.select(F.col("conv_id").alias("chat_id"), at("turn").alias("call_id"), F.col("turn").alias("position"),
+                         F.when(later, "follow_up").otherwise("ask").alias("tool"), arguments.alias("arguments"))
+    links = asked.where(later).select(at("turn").alias("call_id"), at(F.col("turn") - 2).alias("after"))
+    results = turns.where("role = 'assistant'").select(
+        F.col("conv_id").alias("chat_id"), at(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    return chat.linked(calls, results, links, spark.sql(ASK_SCHEMAS))

@@ -348,3 +348,9 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return docs.withColumn("_toxic_score", arrow_udf(run, DoubleType())(F.col("text")))
+
+
+def keep_clean(docs: DataFrame, model: Model | None, border: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``border``."""
+    held = scored(docs.select(F.struct("*").alias("row"), "text"), model)
+    return held.where(F.col("_toxic_score") < border).select("row.*")
