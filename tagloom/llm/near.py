@@ -184,6 +184,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between the roots of their ends, and each node's link to its root: the same components, fewer links."""
+    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    ends = links.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return ends.where("a != b").distinct().union(stars)
+
+
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components; nodes without a root are their own."""
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -257,10 +266,10 @@ def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, perc
     partly = staged(nearby(links))
     rest = across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), partly)
     links = links.union(staged(confirmed(rest.union(pivots(near, links, partly, percent)), sets, percent)))
-    roots = staged(components(links))
+    roots = staged(components(contracted(links, partly)))
     while not (more := staged(confirmed(pivots(near, links, roots, percent), sets, percent))).isEmpty():
         links = links.union(more)
-        roots = staged(components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        roots = staged(components(contracted(more, roots)))
     return roots
 
 
