@@ -1,9 +1,9 @@
 """Toxic sentences by a gapped-subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-Units.  A text is read as units: its words in lower case, and single letters that follow each other
-(spelt-out words) put together.  A sentence is as toxic as its worst unit, a text as its worst sentence.
+Units.  A text is read as units: its words in lower case, also without characters that are no letters, and
+single letters that follow each other (spelt-out words) put together.  A sentence is as toxic as its worst unit, a text as its worst sentence.
 
-Kernel.  The features of a unit are its subsequences of three letters (a start and an end mark
+Kernel.  The features of a unit are its subsequences of ORDER letters (a start and an end mark
 included) within SPAN places, weighted DECAY^(places covered); other characters take a place but are
 never part of a feature, so inserted characters and gaps only lower the weights, and the kernel is
 normalised by the unit's own length in feature space.
@@ -14,8 +14,9 @@ subsequence: scoring a unit is a weighted sum of table entries, equal to evaluat
 
 Training.  Labels belong to texts, so sentences of labelled texts are learnt by multiple instances: in
 a toxic text at least one unit is toxic, in others none is.  Units that many toxic texts share and
-others do not are found by greedy cover and are positive; after each fit every toxic text without one adds its
-highest unit, and the highest units of the other texts become further negatives.  Training reads at most about MAX_TOXIC toxic and
+others do not are found by greedy cover and are positive; after each fit the other toxic texts add their
+highest unit where its margin is above SURE, and the highest units of the other texts become further
+negatives.  Training reads at most about MAX_TOXIC toxic and
 MAX_CLEAN other labelled texts, chosen by a digest of the id.  A logistic curve maps the worst unit of
 a text to a score.
 
@@ -25,6 +26,7 @@ positive training texts every score is 0.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -37,16 +39,23 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 #: labelled texts read for training
-MAX_TOXIC = 1500
-MAX_CLEAN = 4500
+MAX_TOXIC = 1000
+MAX_CLEAN = 2500
 LANDMARKS = 256
 DECAY = 0.7
-SPAN = 6
+SPAN = 7
 ROUNDS = 3
+SURE = 0.5
+#: a toxic text weighs as much as this many clean ones; a unit stands for at most MOST_TEXTS clean texts
+TOXIC_WEIGHT = 10
+MOST_TEXTS = 30
 #: units longer than this are read in overlapping stretches
 LONGEST = 40
 KEPT_UNITS = 1_000_000
-_SYMBOLS = 64
+_SYMBOLS = 40
+#: letters in one subsequence
+ORDER = 4
+_TABLE = _SYMBOLS ** ORDER
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 
@@ -55,7 +64,7 @@ def symbol(letter: str) -> int:
     """0 for what is no letter, 1 and 2 are the marks, then a-z, then a place for each other letter."""
     if "a" <= letter <= "z":
         return ord(letter) - ord("a") + 3
-    return 29 + ord(letter) % 35 if letter.isalpha() else 0
+    return 29 + ord(letter) % 11 if letter.isalpha() else 0
 
 
 _of: dict[str, int] = {}
@@ -66,7 +75,12 @@ def units_of(text: str) -> set[str]:
     lowered = text.lower()
     found = {w.strip(_EDGES) for w in set(lowered.split())}
     for m in _SPELT.finditer(lowered):
-        found.add(re.sub(r"\s+", "", m.group()).strip(_EDGES))
+        letters = m.group().split()
+        found.add("".join(letters).strip(_EDGES))
+        if letters[0] in ("a", "i"):  # a word of its own before the spelt one
+            found.add("".join(letters[1:]).strip(_EDGES))
+    # a unit with characters put between its letters is also read without them
+    found |= {"".join(filter(str.isalpha, w)) for w in found if not w.isalpha()}
     found.discard("")
     return found
 
@@ -106,20 +120,21 @@ class Features:
         for size, members in order.items():
             grid = np.array([stretches[i] for i in members], np.int64)
             row = np.array(members)
-            for last in range(2, min(SPAN, size)):
-                for mid in range(1, last):
-                    a, b, c = grid[:, :size - last], grid[:, mid:size - last + mid], grid[:, last:]
-                    ok = (a > 0) & (b > 0) & (c > 0)
-                    key = (a * _SYMBOLS + b) * _SYMBOLS + c
+            for last in range(ORDER - 1, min(SPAN, size)):
+                for inner in itertools.combinations(range(1, last), ORDER - 2):
+                    key, ok = 0, True
+                    for at in (0, *inner, last):
+                        letter = grid[:, at:size - last + at]
+                        key, ok = key * _SYMBOLS + letter, ok & (letter > 0)
                     rows.append(np.broadcast_to(row[:, None], key.shape)[ok])
                     keys.append(key[ok])
                     weights.append(np.full(int(ok.sum()), DECAY ** (last + 1)))
         n = len(stretches)
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        pair = row * _SYMBOLS ** 3 + (np.concatenate(keys) if keys else row)
+        pair = row * _TABLE + (np.concatenate(keys) if keys else row)
         pair, inverse = np.unique(pair, return_inverse=True)
         weight = np.bincount(inverse, np.concatenate(weights) if weights else None, len(pair)).astype(float)
-        self.row, self.key = (pair // _SYMBOLS ** 3).astype(np.int32), (pair % _SYMBOLS ** 3).astype(np.int32)
+        self.row, self.key = (pair // _TABLE).astype(np.int32), (pair % _TABLE).astype(np.int32)
         norm = np.sqrt(np.bincount(self.row, weight * weight, n))
         self.weight = (weight / np.maximum(norm[self.row], 1e-12)).astype(np.float32)
         self.n = n
@@ -131,7 +146,7 @@ class Features:
         """Kernel values of every row with every landmark."""
         out = np.empty((self.n, landmarks.n))
         edges = np.searchsorted(landmarks.row, np.arange(landmarks.n + 1))
-        table = np.zeros(_SYMBOLS ** 3)
+        table = np.zeros(_TABLE, np.float32)
         for j in range(landmarks.n):
             some = slice(edges[j], edges[j + 1])
             table[landmarks.key[some]] = landmarks.weight[some]
@@ -156,13 +171,13 @@ def unit_margins(units: list[str], model: Model) -> np.ndarray:
         stretches += parts
         owner += [i] * len(parts)
     out = np.full(len(units), -np.inf)
-    for at in range(0, len(stretches), 20_000):
-        value = Features(stretches[at:at + 20_000]).dot(model.table) + model.bias
-        np.maximum.at(out, owner[at:at + 20_000], value)
+    for at in range(0, len(stretches), 8_000):
+        value = Features(stretches[at:at + 8_000]).dot(model.table) + model.bias
+        np.maximum.at(out, owner[at:at + 8_000], value)
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-4, steps: int = 300) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-4, steps: int = 400) -> np.ndarray:
     """Linear squared-hinge machine by accelerated gradient steps; the last column of x is constant."""
     w = np.zeros(x.shape[1])
     ahead, before, t = w.copy(), w.copy(), 1.0
@@ -175,30 +190,33 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-
     return w
 
 
-def _fit_units(toxic: list[str], clean: list[str], seed: int) -> Model:
+def _fit_units(toxic: dict[str, float], clean: dict[str, float], seed: int) -> Model:
+    """Machine over units that weigh by the number of texts they stand for."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    names = toxic + clean
+    names = sorted(toxic) + sorted(clean)
     first = [_stretches(_codes(u))[0] for u in names]
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+    weight = np.array([toxic[u] for u in sorted(toxic)] + [clean[u] for u in sorted(clean)])
     half = LANDMARKS // 2
-    chosen = [*rng.permutation(len(toxic))[:half].tolist(), *(len(toxic) + rng.permutation(len(clean))[:half]).tolist()]
+    near = Features(first)
+    centre = np.bincount(near.key[y[near.row] > 0], near.weight[y[near.row] > 0], _TABLE)
+    alike = np.argsort(-near.dot(centre)[len(toxic):], kind="stable")[:half // 2]  # clean units most like toxic ones
+    chosen = [*rng.permutation(len(toxic))[:half].tolist(), *(len(toxic) + alike).tolist(),
+              *(len(toxic) + rng.permutation(len(clean))[:half // 2]).tolist()]
     landmarks = Features([first[i] for i in chosen])
     values, vectors = np.linalg.eigh(landmarks.against(landmarks))
     good = values > 1e-6
     project = vectors[:, good] / np.sqrt(values[good])
-    x = np.concatenate([Features(first[at:at + 20_000]).against(landmarks) @ project for at in range(0, len(first), 20_000)])
-    x = np.column_stack((x, np.ones(len(x))))
-    weight = np.where(y > 0, 0.5 / max(1, len(toxic)), 0.5 / max(1, len(clean)))
-    w = _machine(x, y, weight)
+    x = np.concatenate([Features(first[at:at + 8_000]).against(landmarks) @ project for at in range(0, len(first), 8_000)])
+    w = _machine(np.column_stack((x, np.ones(len(x)))), y, weight)
     alpha = project @ w[:-1]
-    table = np.bincount(landmarks.key, landmarks.weight * alpha[landmarks.row], _SYMBOLS ** 3)
+    table = np.bincount(landmarks.key, landmarks.weight * alpha[landmarks.row], _TABLE)
     return Model(table.astype(np.float32), float(w[-1]), 1.0, 0.0)
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, both classes weighing alike."""
-    a, b = 2.0, 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    """Slope and shift of a logistic curve."""
+    a, b, weight = 2.0, 0.0, np.full(len(m), 1 / max(1, len(m)))
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
         g = weight * (p - (y > 0))
@@ -207,9 +225,10 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def cover(bags: list[list[str]], common: Counter, least: int) -> list[str]:
-    """Units that toxic texts share: greedily the one that most texts without a chosen one have.
+    """Units that toxic texts share: those of one text in 25, then greedily the one that most texts without
+    a chosen one have.
 
-    A unit of other texts must be 50 times rarer there; a choice must add ``least`` texts.
+    A unit of other texts must be 50 times rarer there; a greedy choice must add ``least`` texts.
     """
     ratio = max(1.0, sum(common.values()) / max(1, sum(map(len, bags))))
     holders: dict[str, list[int]] = {}
@@ -217,7 +236,10 @@ def cover(bags: list[list[str]], common: Counter, least: int) -> list[str]:
         for u in b:
             holders.setdefault(u, []).append(i)
     open_ = {u: h for u, h in holders.items() if len(h) >= least and len(h) * ratio > 50 * common[u]}
-    free, chosen = np.ones(len(bags), bool), []
+    free = np.ones(len(bags), bool)
+    chosen = sorted(u for u, h in open_.items() if 25 * len(h) >= len(bags) and len(h) >= 2 * least)
+    for u in chosen:
+        free[open_.pop(u)] = False
     while open_:
         gain = {u: int(free[h].sum()) for u, h in open_.items()}
         open_ = {u: h for u, h in open_.items() if gain[u] >= least}
@@ -229,22 +251,8 @@ def cover(bags: list[list[str]], common: Counter, least: int) -> list[str]:
     return chosen
 
 
-class Pool:
-    """Many units with their features, worked out once."""
-
-    def __init__(self, units: list[str]) -> None:
-        self.units, self.owner, stretches = units, [], []
-        for i, u in enumerate(units):
-            parts = _stretches(_codes(u))
-            stretches += parts
-            self.owner += [i] * len(parts)
-        self.parts = [Features(stretches[at:at + 20_000]) for at in range(0, len(stretches), 20_000)]
-
-    def margins(self, model: Model) -> dict[str, float]:
-        out = np.full(len(self.units), -np.inf)
-        if self.parts:
-            np.maximum.at(out, self.owner, np.concatenate([f.dot(model.table) for f in self.parts]) + model.bias)
-        return dict(zip(self.units, out.tolist(), strict=True))
+def _margins(units: list[str], model: Model) -> dict[str, float]:
+    return dict(zip(units, unit_margins(units, model).tolist(), strict=True))
 
 
 def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Model | None:
@@ -255,28 +263,38 @@ def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Model
         return None
     there = Counter(u for b in clean_bags for u in b)
     rng = np.random.Generator(np.random.PCG64(seed))
-    start = cover(bags, there, max(1, min(5, len(bags) // 40)))
+    start = cover(bags, there, 5 if len(bags) > 200 else 3 if len(bags) > 12 else 1)
     known = set(start)
     unexplained = [b for b in bags if b and not known.intersection(b)]
     everyday = sorted(there, key=lambda u: (-there[u], u))
     clean = set(everyday[:2000]) | {everyday[i] for i in rng.permutation(len(everyday))[:6000].tolist()}
-    toxic = set(known) or {u for b in unexplained for u in b if not there[u]}
-    clean -= toxic
-    outside, inside = Pool(everyday), Pool(sorted({u for b in unexplained for u in b}))
-    model = _fit_units(sorted(toxic), sorted(clean) or ["-"], seed)
-    for turn in range(ROUNDS):
-        value = outside.margins(model)
+    toxic = dict.fromkeys(start, 0.0)
+    for b in bags:
+        shared = known.intersection(b)
+        for u in shared:
+            toxic[u] += 1 / len(shared)
+    if not toxic:
+        toxic = {u: 1.0 for b in unexplained for u in b if not there[u]} or {unexplained[0][0]: 1.0}
+    explained = dict(toxic)
+    inside = sorted({u for b in unexplained for u in b})
+
+    def machine(turn: int) -> Model:
+        ordinary = {u: min(there[u], MOST_TEXTS) / len(bags) / TOXIC_WEIGHT for u in clean if u not in toxic} or {"-": 1.0}
+        return _fit_units({u: n / len(bags) for u, n in toxic.items()}, ordinary, seed + turn)
+
+    model = machine(0)
+    for turn in range(1, ROUNDS + 1):
+        value = _margins(everyday, model)
         hard = sorted(everyday, key=lambda u: (-value[u], u))[:3000]
         clean |= {u for u in hard if value[u] > -0.9}
-        value = inside.margins(model)
-        # a toxic text without a shared unit is explained by its highest one
-        best = {max(b, key=lambda u: (value[u], u)) for b in unexplained}
-        toxic = known | {u for u in best if not there[u] and value[u] > 0} or toxic
-        clean -= toxic
-        model = _fit_units(sorted(toxic), sorted(clean) or ["-"], seed + turn)
-    outside, inside = outside.margins(model), Pool(sorted({u for b in bags for u in b})).margins(model)
-    worst = [max(map(inside.__getitem__, b), default=-3.0) for b in bags]
-    worst += [max(map(outside.__getitem__, b), default=-3.0) for b in clean_bags]
+        value = _margins(inside, model)
+        # a toxic text without a shared unit is explained by its highest one, if that is much like the shared
+        # ones; else its label counts as an error
+        best = Counter(max(b, key=lambda u: (value[u], u)) for b in unexplained)
+        toxic = explained | {u: n for u, n in best.items() if not there[u] and value[u] > SURE}
+        model = machine(turn)
+    value = _margins(sorted(set(everyday).union(*bags)), model)
+    worst = [max(map(value.__getitem__, b), default=-3.0) for b in bags + clean_bags]
     y = np.array([1] * len(bags) + [-1] * len(clean_bags))
     model.slope, model.shift = _logistic(np.maximum(np.array(worst), -3), y)
     return model
@@ -311,12 +329,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     Null labels are no labels; a document labelled twice counts with its highest label.
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marked, "doc_id")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = (F.when(F.col("toxic") == 1, F.lit(min(1.0, MAX_TOXIC / max(1, sizes.get(1, 0)))))
              .otherwise(F.lit(min(1.0, MAX_CLEAN / max(1, sum(n for k, n in sizes.items() if k != 1))))))
-    chosen = rows.where(draw < share).select("doc_id", "toxic", "text").toArrow()
+    # the chosen ids are about MAX_TOXIC + MAX_CLEAN numbers, so no text has to be shuffled to meet its label
+    chosen = (docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+              .join(F.broadcast(marked.where(draw < share)), "doc_id").select("doc_id", "toxic", "text").toArrow())
     order = sorted(zip(chosen["doc_id"].to_pylist(), chosen["toxic"].to_pylist(), chosen["text"].to_pylist(), strict=True))
     return fit([t for _, y, t in order if y == 1], [t for _, y, t in order if y != 1])
 
