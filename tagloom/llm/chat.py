@@ -4,10 +4,11 @@ Everything is DataFrame expressions.  Results are reduced to one per identifier
 join is many-to-one and an identifier that a third of all rows carry cannot multiply.
 
 Order: a call's level is 0 without predecessors, else one more than the highest level among them;
-``(level, position)`` is a topological order of each chat.  Levels are found from the front: a round places
-the calls whose predecessors are all placed, and only looks at the links that leave the calls placed in
-the round before, so the work is linear in the links and the rounds are as many as the longest chain.
-Calls on a cycle, or behind one, have a null level.
+``(level, position)`` is a topological order of each chat.  Chains of calls with one predecessor are shortened by
+pointer doubling; the calls with several are then placed from the front: a round places those whose
+predecessors are all placed, and only looks at the links that leave the calls placed in the round before.
+So a chain of n calls takes log2(n) rounds, and the work is linear in the links.  Calls on a cycle, or
+behind one, have a null level.
 
 Arguments are JSON objects; `SCHEMA` tables say which fields a tool has.  Canonical JSON has its keys sorted
 at every depth and no blanks, and leaves out what is null in the envelope.
@@ -24,32 +25,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.staging import staged
+from tagloom.llm.staging import new_folder, staged
 
 #: columns of a schema table: tool, field, type (string, integer, number, boolean, array, object), required,
 #: low and high (of a number, or of a string's length; null for no bound)
 SCHEMA = "tool string, field string, type string, required boolean, low double, high double"
 
 
+def chained(calls: DataFrame, links: DataFrame) -> DataFrame:
+    """``call_id, anchor, steps``: follow single predecessors back to a call that has none or several.
+
+    Pointers double in every round, so a chain of n calls takes log2(n) rounds.  Calls that a cycle of
+    single predecessors holds have a null anchor.
+    """
+    before = links.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("after"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    now = staged(calls.select("call_id").join(before, "call_id", "left").select(
+        "call_id", F.when(single, F.col("after")).otherwise(F.col("call_id")).alias("anchor"),
+        single.cast("int").alias("steps"), (~single).alias("done")))
+    rounds = now.count().bit_length() + 1
+    while rounds and not now.where("not done").isEmpty():
+        ahead = now.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        now = staged(now.join(ahead, "anchor").select("call_id", F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"),
+                                                     (F.col("done") | F.col("ends")).alias("done")))
+        rounds -= 1
+    return now.select("call_id", F.when(F.col("done"), F.col("anchor")).alias("anchor"), "steps")
+
+
 def levels(calls: DataFrame, links: DataFrame) -> DataFrame:
     """``call_id, level`` for calls (``call_id``, unique) under ``links`` (``call_id, after``).
 
-    A predecessor that is no call is ignored.
+    A predecessor that is no call is ignored.  Calls that get no level are left out.
     """
+    spark = calls.sparkSession
     links = staged(links.where("call_id is not null").join(calls.select(F.col("call_id").alias("after")), "after", "left_semi")
-                   .select("call_id", "after").distinct())
-    waiting = links.groupBy("call_id").agg(F.count("*").alias("open"))
-    placed = staged(calls.select("call_id").join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)))
-    waiting, front, level = staged(waiting), placed, 0
-    while not front.isEmpty():
-        level += 1
-        freed = (links.join(front.select(F.col("call_id").alias("after")), "after", "left_semi")
-                 .groupBy("call_id").agg(F.count("*").alias("closed")))
-        left = staged(waiting.join(freed, "call_id", "left")
-                      .select("call_id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
-        front = left.where("open = 0").select("call_id", F.lit(level).alias("level"))
-        placed, waiting = placed.union(front), left.where("open > 0")
-    return placed
+                   .join(calls.select("call_id"), "call_id", "left_semi").select("call_id", "after").distinct())
+    chain = chained(calls, links)
+    several = links.groupBy("call_id").agg(F.count("*").alias("open")).where("open > 1")
+    # between calls with several predecessors: from the anchor of each predecessor, over its steps and one
+    jumps = staged(links.join(several, "call_id", "left_semi")
+                   .join(chain.select(F.col("call_id").alias("after"), "anchor", "steps"), "after", "left")
+                   .select("call_id", "anchor", (F.col("steps") + 1).alias("steps")))
+    waiting = staged(several.select("call_id", "open", F.lit(0).alias("best")))
+    folder, turn = new_folder(spark), 0
+    first = calls.select("call_id").join(links.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0))
+    schema = first.schema
+    first.write.parquet(f"{folder}/round=0")
+    front = spark.read.schema(schema).parquet(f"{folder}/round=0")
+    while not waiting.isEmpty() and not front.isEmpty():
+        turn += 1
+        closed = (jumps.join(front.select(F.col("call_id").alias("anchor"), "level"), "anchor")
+                  .groupBy("call_id").agg(F.count("*").alias("closed"), F.max(F.col("level") + F.col("steps")).alias("reach")))
+        left = staged(waiting.join(closed, "call_id", "left").select(
+            "call_id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"), F.greatest("best", "reach").alias("best")))
+        left.where("open = 0").select("call_id", F.col("best").alias("level")).write.parquet(f"{folder}/round={turn}")
+        front = spark.read.schema(schema).parquet(f"{folder}/round={turn}")
+        waiting = left.where("open > 0")
+    placed = spark.read.schema(schema).parquet(*[f"{folder}/round={k}" for k in range(turn + 1)])
+    return chain.join(placed.withColumnRenamed("call_id", "anchor"), "anchor").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
 
 
 def json_type(value: Column) -> Column:

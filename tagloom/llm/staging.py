@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.session import shared_dir
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     The table is what later steps read, so lost executors cost no recomputation; it goes with the
     shared folder, which the operator of the cluster clears.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

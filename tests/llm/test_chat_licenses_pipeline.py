@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pyarrow as pa
@@ -39,6 +40,20 @@ def test_chat_statuses(spark):
     assert none.count() == 0
 
 
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(6)
+    links = [(i, rng.randrange(i)) for i in range(1, 60) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+    links += [(100 + i, 99 + i) for i in range(1, 150)] + [(300, 301), (301, 302), (302, 300), (303, 302), (304, 304), (305, 304), (305, 5)]
+    nodes = sorted({x for pair in links for x in pair} | {400})
+    want: dict[int, int] = {}
+    for n in (x for x in nodes if not 300 <= x <= 305):
+        want[n] = max((want[b] + 1 for a, b in links if a == n), default=0)
+    text = [(str(a), str(b)) for a, b in links] + [("7", "gone"), ("gone", "7")]
+    got = chat.levels(spark.createDataFrame([(str(n),) for n in nodes], "call_id string"),
+                      spark.createDataFrame(text, "call_id string, after string"))
+    assert {int(r["call_id"]): r["level"] for r in got.collect()} == want
+
+
 def brute_licenses(text: str | None) -> tuple:
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = [(i, label) for p, label in PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
