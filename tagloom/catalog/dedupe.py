@@ -126,7 +126,7 @@ def j8(spark, sf):
 SELECT (SELECT count(DISTINCT row_id) FROM truth WHERE label IN (SELECT label FROM model)) AS n_rows,
  (SELECT count(*) FROM items) - (SELECT count(DISTINCT row_id) FROM truth WHERE label IN (SELECT label FROM model)) AS rows_without_a_known_label,
  (SELECT count(DISTINCT label) FROM truth WHERE label NOT IN (SELECT label FROM model)) AS n_unknown_labels,
- (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM truth WHERE label NOT IN (SELECT label FROM model) ORDER BY label LIMIT 25)) AS unknown_labels,
+ (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM truth WHERE label NOT IN (SELECT label FROM model) ORDER BY label)) AS unknown_labels,
  (SELECT count(DISTINCT label) FROM truth WHERE label IN (SELECT label FROM model)) AS labels_covered""",
      f"{_SPACE}, truth AS (SELECT item_id AS row_id, unnest({sql_labels('labels')}) AS label FROM items)"))
 def j8_unknown(spark, sf):

@@ -24,20 +24,54 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
              "ﬅ": "st", "ﬆ": "st"}
 # -----------------------------------------------------------------------------------------
 MARK = "[*_`~]"
+#: elements whose contents are no text
+HIDDEN_TAGS = ("script", "style", "nav", "footer")
+#: put behind the ``<`` of an opener that nothing closes; a private-use letter
+MUTE = "\ue0f5"
 ALNUM = r"[\p{L}\p{N}]"
 
 
+def _mute_unclosed(text: Column, opener: str, closer: str) -> Column:
+    """Openers behind the last closer cannot match; muted, they are not searched from in vain.
+
+    So every opener that is left finds its closer, and removing the elements takes linear time.
+    """
+    def muted(t: Column) -> Column:
+        head = F.regexp_extract(t, rf"(?is)^.*{closer}", 0)
+        tail = F.regexp_replace(F.substr(t, F.length(head) + 1), rf"(?i)<(?={opener[1:]})", "<" + MUTE)
+        return F.when(t.rlike(rf"(?i){opener}"), F.concat(head, tail)).otherwise(t)
+
+    return bind(text, muted)
+
+
+def _without_heading_marks(text: Column) -> Column:
+    """Lines that open with one to six ``#`` lose these, and the ``#`` at their end; each step is linear."""
+    opening = r"^[ \t]{0,3}#{1,6}[ \t]++"
+
+    def bare(line: Column) -> Column:
+        out = F.regexp_replace(line, opening, "")
+        for trailing in (r"(?<![ \t])[ \t]++$", r"(?<!#)#++$", r"(?<![ \t])[ \t]++$"):
+            out = F.regexp_replace(out, rf"(?d){trailing}", "")
+        return F.when(line.rlike(opening), out).otherwise(line)
+
+    lines = F.array_join(F.transform(F.split(text, "\n", -1), bare), "\n")
+    return F.when(F.contains(text, F.lit("#")), lines).otherwise(text)
+
+
 def strip_markup(raw: Column) -> Column:
     """Markup removal that keeps the lines of a page; entities are decoded last."""
     out = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<(script|style|nav|footer)\b[^<>]*>.*?</\1\b[^<>]*>", "\n")
+    out = F.replace(F.regexp_replace(_mute_unclosed(out, "<!--", "-->"), r"(?s)<!--.*?-->", ""), F.lit(MUTE), F.lit(""))
+    for tag in HIDDEN_TAGS:
+        out = _mute_unclosed(out, rf"<{tag}\b", rf"</{tag}\b[^<>]*>")
+    out = F.regexp_replace(out, rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b[^<>]*>.*?</\1\b[^<>]*>", "\n")
+    out = F.replace(out, F.lit(MUTE), F.lit(""))
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_TAGS})(?=[\s/>])[^<>]*>", "\n")
     out = F.regexp_replace(out, TAG_STRICT, "")
     out = F.regexp_replace(out, CONTROL, "")
     out = F.regexp_replace(out, MD_LINK, "$1")
     out = F.regexp_replace(out, r"(?dm)^(?:[ \t]{0,3}>[ \t]?)+", "")
-    out = F.regexp_replace(out, r"(?dm)^[ \t]{0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$", "$1")
+    out = bind(out, _without_heading_marks)
     # a run stays when it is a rule of one repeated mark, or sits inside a word
     rule = rf"({MARK})\1{{3,}}(?!{MARK})"
     inside = rf"(?<={ALNUM})(?:_+|{MARK}){ALNUM}"

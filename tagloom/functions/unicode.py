@@ -69,7 +69,7 @@ def _literal_map(entries: dict[str, str]) -> Column:
 
 
 def compose(text: Column) -> Column:
-    """Base letter plus combining mark becomes the one composed letter (up to two marks)."""
+    """Base letter plus combining marks becomes the one composed letter, a pass for each mark of the longest run."""
     table = _literal_map(_composed_pairs())
 
     def one_pass(value: Column) -> Column:
@@ -77,7 +77,12 @@ def compose(text: Column) -> Column:
         return F.aggregate(found, value, lambda acc, pair: F.replace(
             acc, pair, F.coalesce(F.element_at(table, pair), pair)))
 
-    return bind(text, lambda t: F.when(t.rlike(COMBINING), bind(one_pass(t), one_pass)).otherwise(t))
+    def all_passes(value: Column) -> Column:
+        runs = F.regexp_extract_all(value, F.lit(f"{COMBINING}+"), F.lit(0))
+        longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+        return F.aggregate(F.sequence(F.lit(1), longest), value, lambda acc, _: one_pass(acc))
+
+    return bind(text, lambda t: F.when(t.rlike(COMBINING), all_passes(t)).otherwise(t))
 
 
 @lru_cache(maxsize=1)
@@ -101,8 +106,10 @@ def unescape_entities(text: Column) -> Column:
     names, c1 = _literal_map(named), _literal_map(windows)
 
     def number(ref: Column) -> Column:
-        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 12), 16, 10)) \
-            .otherwise(F.conv(F.substring(ref, 2, 12), 10, 10)).cast("long")
+        digits = F.regexp_replace(ref, "^#[xX]?0*(?=.)", "")
+        # more than eight digits without leading zeros are beyond the last code point
+        code = (F.when(F.length(digits) > 8, F.lit(0x110000).cast("long"))
+                .when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long")))
         bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
         # control codes and non-characters decode to nothing
         void = (code.between(1, 8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F)

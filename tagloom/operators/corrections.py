@@ -11,7 +11,6 @@ from .dedupe import first_ids
 
 # --- fixed values: bounds of one correction ----------------------------------------------
 MAX_TEXT, MAX_LABELS, MAX_LABEL_CHARS, MAX_SOURCE = 100_000, 100, 500, 50
-HISTORY_RECORDS = 200
 # -----------------------------------------------------------------------------------------
 IDENTITY = ("recorded_at", "model_name", "text", "predicted", "corrected")
 
@@ -79,8 +78,8 @@ def per_model(log: DataFrame) -> DataFrame:
 
 
 def recent_runs(history: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest ``limit`` of the last 200 runs."""
-    return history.orderBy(F.col("pos").desc()).limit(min(limit, HISTORY_RECORDS))
+    """The newest ``limit`` runs."""
+    return history.orderBy(F.col("pos").desc()).limit(limit)
 
 
 def name_repair(model_labels: DataFrame, names: DataFrame) -> DataFrame:

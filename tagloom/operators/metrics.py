@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import beside
 
-MAX_LISTED_UNKNOWN = 25  # fixed value
-
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
@@ -37,7 +35,7 @@ def coverage(truth: DataFrame, space: Sequence[str]) -> DataFrame:
     rows = truth.agg(F.count_if(has).alias("n_rows"), F.count_if(~has).alias("rows_without_a_known_label"))
     used = truth.select(F.explode("labels").alias("label")).distinct()
     unknown = used.where(~F.col("label").isin(*space))
-    listed = unknown.orderBy("label").limit(MAX_LISTED_UNKNOWN).agg(
+    listed = unknown.agg(
         F.array_join(F.array_sort(F.collect_list("label")), ",").alias("unknown_labels"))
     counts = used.agg(F.count_if(~F.col("label").isin(*space)).alias("n_unknown_labels"),
                       F.count_if(F.col("label").isin(*space)).alias("labels_covered"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,8 @@ def _name(concept: Column, language: str) -> Column:
     return F.trim(F.coalesce(F.nullif(F.element_at(labels, F.lit(language)), F.lit("")), any_name))
 
 
-def flatten_concepts(schemes: DataFrame, rank: str, scheme: str = "json", language: str = "de",
-                     max_depth: int = 64) -> DataFrame:
-    """All concepts of the trees, one level per round until a level is empty.
+def flatten_concepts(schemes: DataFrame, rank: str, scheme: str = "json", language: str = "de") -> DataFrame:
+    """All concepts of the trees, one level per round until a level is empty (the trees are finite JSON texts).
 
     A URI in several schemes keeps the name of the scheme with the lowest ``rank``; inside one
     scheme the deepest, then last-sorted name stays.
@@ -29,7 +29,7 @@ def flatten_concepts(schemes: DataFrame, rank: str, scheme: str = "json", langua
     top = F.from_json(F.col(scheme), "struct<hasTopConcept:array<string>>")["hasTopConcept"]
     level = schemes.select(rank, F.explode(top).alias("node"))
     levels = []
-    for depth in range(max_depth):
+    for depth in count():
         concepts = cut_lineage(level.select(rank, F.from_json("node", CONCEPT).alias("c")))
         if concepts.isEmpty():
             break

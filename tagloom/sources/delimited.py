@@ -51,7 +51,8 @@ def read_delimited(spark: SparkSession, path: str, text_columns: Sequence[str],
     if missing:
         raise InputError(f"columns {missing} not found; the file has {sorted(columns)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = _reader(spark, separator, encoding).schema(schema).csv(path)
+    # every file's header is held against these columns: files in another order are refused, never mixed up
+    df = _reader(spark, separator, encoding).option("enforceSchema", False).schema(schema).csv(path)
     kept_raw = [c for c in dict.fromkeys(raw) if c in columns and c not in text_columns]
     out = df.select(*[missing_as_empty(F.col(f"`{c}`")).alias(c) for c in text_columns],
                     *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in kept_raw],
@@ -82,13 +83,19 @@ def row_counts(spark: SparkSession, folder: str, *, separator: str = ";", limit:
                offset: int = 0) -> DataFrame:
     """Records per file -- a line break in quotes ends none -- for one page of the folder.
 
-    The page is narrowed before anything is counted; only its file names reach the driver.
+    Without ``limit`` and ``offset`` the whole folder is counted in one job; else the page is narrowed before
+    anything is counted, and only its file names reach the driver.
     """
+    path = F.col("_metadata.file_path")
+    if limit is None and not offset:
+        everything = _reader(spark, separator).option("recursiveFileLookup", True).csv(folder)
+        exports = everything.select(path.alias("path")).where(F.lower("path").rlike(r"\.csv(\.gz)?$"))
+        return exports.groupBy("path").agg(F.count("*").alias("rows")).orderBy("path")
     page = [r["path"] for r in list_exports(spark, folder, limit, offset).collect()]
     if not page:
         return spark.createDataFrame([], "path string, rows long")
     df = _reader(spark, separator).csv(page)
-    counted = df.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+    counted = df.select(path.alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
     return counted.orderBy("path")
 
 

@@ -35,13 +35,17 @@ def decide(valid: Column, invalid: Column, undefined: Column) -> Column:
             .otherwise("refused: mixed encodings"))
 
 
-def audit(lines: DataFrame, file: str = "file", line: str = "value") -> DataFrame:
-    """Per file: evidence, a sample of a bad line, and the decision.  Lines never cut a sequence."""
+def audit(lines: DataFrame, file: str = "file", line: str = "value", at: str | None = None) -> DataFrame:
+    """Per file: evidence, the first bad line, and the decision.  Lines never cut a sequence.
+
+    ``at`` names the column of a line's place in its file; without one, the smallest bad line is shown.
+    """
     seen = byte_evidence(F.col(line))
-    counted = lines.select(file, line, *[c.alias(k) for k, c in seen.items()])
+    place = F.col(at) if at else F.col(line)
+    counted = lines.select(file, line, place.alias("_place"), *[c.alias(k) for k, c in seen.items()])
     sums = counted.groupBy(file).agg(
         F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"), F.sum("undefined").alias("undefined"),
-        F.min(F.when(F.col("invalid") > 0, F.left(line, F.lit(200)))).alias("bad_line"))
+        F.min_by(line, F.when(F.col("invalid") > 0, F.col("_place"))).alias("bad_line"))
     return sums.withColumn("encoding", decide(F.col("valid"), F.col("invalid"), F.col("undefined")))
 
 
