@@ -36,14 +36,14 @@ def correction_lines(spark, sf, folder: str, repeat: bool) -> None:
     out.repartition(4, "pos").select("value").write.text(folder)
 
 
-def documents_in_blocks(spark, sf, folder: str, blocks: int = 3):
-    """``documents`` as a few files that arrive in id order."""
+def documents_in_blocks(spark, sf, folder: str, blocks: int = 3, files: int = 4):
+    """``documents`` in blocks that arrive in id order; a block is written by several tasks and read by one trigger."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
     last = docs.agg(F.max("row_id")).first()[0]  # one number
     for i in range(blocks):
         lo, hi = (last + 1) * i // blocks, (last + 1) * (i + 1) // blocks
-        docs.where((F.col("row_id") >= lo) & (F.col("row_id") < hi)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        docs.where((F.col("row_id") >= lo) & (F.col("row_id") < hi)).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @add("u1_continuous_scoring", f"""WITH {model_sql(WORDS_ONLY, _WORD)}, {score_sql('probas', 'SELECT doc_id FROM documents', 'counts')}

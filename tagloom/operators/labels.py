@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import pair_names, parent_namespace, split_labels
-from ..session import InputError, beside
+from ..session import InputError, beside, broadcast_counted, cut_lineage
 
 
 def support(rows: DataFrame, labels: str = "labels") -> DataFrame:
@@ -31,7 +31,8 @@ def learnable_bounds(rows: DataFrame, labels: str, minimum: int) -> tuple[int, i
     (one per distinct support value).
     """
     counts = support(rows, labels)
-    eligible = counts.where(F.col("n") >= minimum)
+    # one row per label: sent whole while its counted size is small, so a label of a third of all rows is no hot key
+    eligible = broadcast_counted(cut_lineage(counts.where(F.col("n") >= minimum)), "label")
     per_row = (rows.select("row_id", F.explode(labels).alias("label")).join(eligible, "label")
                .groupBy("row_id").agg(F.min("n").alias("least")))
     histogram = sorted((r["least"], r["k"]) for r in

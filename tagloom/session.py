@@ -66,6 +66,16 @@ def broadcast_within(df: DataFrame, max_rows: int, bytes_per_row: int) -> DataFr
     return F.broadcast(df) if max_rows * bytes_per_row <= MAX_BROADCAST_BYTES else df
 
 
+def broadcast_counted(stored: DataFrame, *texts: str) -> DataFrame:
+    """Broadcast hint for a stored table whose measured size is small: its rows, and the bytes of its ``texts``.
+
+    This runs one aggregate over the table; a larger one is returned unhinted.
+    """
+    lengths = [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)) for c in texts]
+    size = stored.agg((F.count("*") * 64).alias("rows"), *lengths).first()
+    return F.broadcast(stored) if sum(size) <= MAX_BROADCAST_BYTES else stored
+
+
 def beside(left: DataFrame, right: DataFrame) -> DataFrame:
     """Columns of two one-row frames (ungrouped aggregates) in one row."""
     return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")

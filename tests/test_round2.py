@@ -85,3 +85,15 @@ def test_shares_are_checked_before_any_row_is_read(spark):
     from tagloom.catalog.fitting import _spec
     with pytest.raises(InputError, match="training gets none"):
         train.prepare(spark.range(1).select(F.raise_error("read").alias("title")), replace(_spec(), validation_size=0.5, test_size=0.5))
+
+
+def test_title_does_not_depend_on_the_number_of_keywords(spark):
+    from dataclasses import replace
+
+    from tagloom.operators import metadata as md
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    few = md.propose(docs, "doc_id", "text", replace(md.MetadataSpec(), n_keywords=2))
+    many = md.propose(docs, "doc_id", "text")
+    a = {r["doc_id"]: r for r in few.collect()}
+    for r in many.collect():
+        assert a[r["doc_id"]]["title"] == r["title"] and a[r["doc_id"]]["keywords"] == r["keywords"][:2]
