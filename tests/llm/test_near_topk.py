@@ -100,7 +100,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     rows += [(i, [0.5, -0.25, 1.0, 0.0, 2.0, -1.0]) for i in range(400, 520)]  # equal vectors: ties go to smaller ids
-    rows += [(520, None), (540, []), (560, [1.0, None, 0, 0, 0, 0]), (580, [float("nan")] * 6), (600, [float("inf")] + [0.0] * 5),
+    rows += [(520, None), (540, []), (560, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (580, [float("nan")] * 6), (600, [float("inf")] + [0.0] * 5),
              (None, [1.0] * 6), (620, [1.0, 2.0]), (621, [3.0, -1.0]), (640, [1e13] * 6)]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "id long, vector array<double>, score int")
     got = topk.top_k(frame, F.col("id") % 20 == 0, k=5)
