@@ -14,10 +14,16 @@
    PIVOT_DEPTH hashes the node with most confirmed links is compared with all members outside its
    component.  This is repeated while it finds links.  So a text that many copies resemble, while the
    copies do not resemble each other, still joins them.
-5. Components of the confirmed links; all steps are joins and aggregates.
+5. Exact step: steps 2 to 4 only find links early.  In a common order of all shingles, frequent ones last,
+   two sets that are alike enough share a shingle at places i and j with at least as many shingles left in
+   both as they must have in common.  So each set is put down under its first shingles, and all pairs with
+   such a shingle in different components are confirmed, if their first shingles alone do not rule it out.  Shingles that only one component holds are left
+   out; the others are split into blocks of BLOCK sets, and each pair of blocks is a group of its own.
+6. Components of the confirmed links; all steps are joins and aggregates.
 
-Two texts of similarity s share d hashes of an order with chance s^d: at 0.8 the chance that no
-order brings them together at depth 4 is 0.59^16, or 2 in 10 000.
+The windows of step 2 hold few of the neighbours where many texts share a template; step 5 has no such
+limit, so no link is missed.  The order comes from a sample of texts: it decides how many pairs are looked
+at, not which are found.
 
 A null text, an empty one and one without words have an empty set and are linked with nothing.  Texts
 of fewer words than a shingle have their whole sequence as the only shingle.  Rows that repeat a text,
@@ -27,6 +33,7 @@ component ignores nulls.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +53,11 @@ NEIGHBOURS = 4
 PIVOT_DEPTH = 5
 #: bytes of the signature that travel with a node for estimates
 SKETCH = 64
+#: sets of one block of a shingle in the exact step
+BLOCK = 512
+#: texts whose shingles are counted for the order, and shingles that are put last
+ORDER_TEXTS = 4000
+FREQUENT = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -78,14 +90,49 @@ def set_digest(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return total(values), total(W.mix(values ^ np.uint64(0x5851F42D4C957F2D)))
 
 
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of texts, sorted, and their counts."""
+    every = max(1, docs.count() // ORDER_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in W.blocks(batch.column(0)):
+                value, n = np.unique(W.shingle_sets(W.words(block, lower=True), width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    schema = StructType([StructField("h", LongType()), StructField("n", LongType())])
+    some = docs.where(F.pmod(F.crc32("text"), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(run, schema).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    value = top["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], top["n"].to_numpy().astype(np.int64)[order]
+
+
+def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, order: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """The first shingles of each set in the common order, as many as a similar set must meet."""
+    often, n = order
+    rank = np.zeros(len(values), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+        rank = np.where(often[at] == values, n[at], 0)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size = b - a
+        # values are sorted, so equal ranks stay in the order of their values
+        first = a + np.argsort(rank[a:b], kind="stable")[:size - -(-percent * size // 100) + 1]
+        out.append(values[first].tobytes())
+    return out
+
+
 _SIGNED = StructType([StructField("n_shingles", LongType()), StructField("d1", LongType()), StructField("d2", LongType()),
-                      StructField("keys", BinaryType()), StructField("sketch", BinaryType())])
+                      StructField("keys", BinaryType()), StructField("sketch", BinaryType()), StructField("prefix", BinaryType())])
 
 
-def signed(text: Column, width: int) -> Column:
-    """Set size, digest, keys of all trees (two bytes a hash) and sketch of a text."""
+def signed(text: Column, width: int, percent: int, order) -> Column:
+    """Set size, digest, keys of all trees (two bytes a hash), sketch and first shingles of a text."""
     def run(texts: pa.Array) -> pa.Array:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for block in W.blocks(texts):
             values, bounds = W.shingle_sets(W.words(block, lower=True), width)
             d1, d2 = set_digest(values, bounds)
@@ -97,9 +144,10 @@ def signed(text: Column, width: int) -> Column:
             cols[0].append(np.diff(bounds)), cols[1].append(d1), cols[2].append(d2)
             cols[3] += [keys[i * k:(i + 1) * k] for i in range(block.texts)]
             cols[4] += [sketch[i * SKETCH:(i + 1) * SKETCH] for i in range(block.texts)]
+            cols[5] += prefixes(values, bounds, percent, order.value)
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols[:3]]
         return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in flat), pa.array(cols[3], pa.binary()),
-                                           pa.array(cols[4], pa.binary())], _SIGNED.names)
+                                           pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], _SIGNED.names)
     return arrow_udf(run, _SIGNED)(text)
 
 
@@ -228,6 +276,96 @@ def pivots(nodes: DataFrame, links: DataFrame, roots: DataFrame, percent: int) -
     return pairs.where(F.col("likeness") >= least).select("a", "b").distinct()
 
 
+def postings(nodes: DataFrame) -> DataFrame:
+    """``h, node, span, root``: every set under its first shingles; ``span`` is set size * 2^32 + place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                first = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(3)]
+                n = np.array([len(v) for v in first], np.int64)
+                node, size, root = (np.repeat(part.column(k).to_numpy(), n) for k in range(3))
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.concatenate(first), node, (size << 32) + place, root)],
+                                                 ["h", "node", "span", "root"])
+
+    schema = StructType([StructField(c, LongType()) for c in ("h", "node", "span", "root")])
+    return nodes.select("node", F.col("n_shingles").alias("size"), "root", "prefix").mapInArrow(run, schema)
+
+
+def meetings(nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a < b`` of different components that may be alike enough, from ``node, n_shingles, root, prefix``.
+
+    A pair is here if its sets share a shingle at places after which both still hold as many as they must share;
+    the first shared shingle of a pair that is alike enough is at such places.
+    """
+    # sets of fewer than four shingles are alike only if they are equal
+    placed = postings(nodes.where("n_shingles >= 4")).repartition("h")
+    shared = (placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+              .where("low != high").select("h", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    units = (placed.join(shared, "h").withColumn("block", block).withColumn("other", other)
+             .select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "span", "root"))
+    dealt = units.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((7, 0), np.int64)
+        for batch in itertools.chain(batches, [None]):
+            now = held
+            if batch is not None:
+                now = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            if not now.shape[1]:
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], (now[:3, 1:] != now[:3, :-1]).any(axis=0))))
+            whole = now.shape[1] if batch is None else starts[-1]  # the last group may go on in the next batch
+            held, now = now[:, whole:], now[:, :whole]
+            starts = starts[starts < whole]
+            at = np.arange(whole) - np.repeat(starts, np.diff(np.append(starts, whole)))
+            _, low, high, block, node, span, root = now
+            size, place = span >> 32, span & 0xFFFFFFFF
+            right, step = np.arange(whole), 0
+            out, waiting = [], 0
+            while len(right):
+                step += 1
+                right = right[at[right] >= step]
+                left = right - step
+                least = -(-percent * (size[left] + size[right]) // (100 + percent))
+                ok = ((root[left] != root[right]) & (least <= np.minimum(size[left] - place[left], size[right] - place[right]))
+                      & ((low[right] == high[right]) | (block[left] != block[right])))
+                x, y = node[left[ok]], node[right[ok]]
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+                waiting += len(x)
+                if waiting > 1 << 18 or not len(right):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in (0, 1)], ["a", "b"])
+                    out, waiting = [], 0
+
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    met = dealt.mapInArrow(run, schema).distinct()
+    marked = nodes.select("node", "n_shingles", marks(F.col("prefix")).alias("marks"))
+    left, right = (marked.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("marks").alias(f"marks_{c}")) for c in "ab")
+    pairs = staged(met).join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "marks_a", "marks_b")
+    return pairs.mapInArrow(lambda batches: _enough_marks(batches, percent), schema)
+
+
+def marks(prefix: Column) -> Column:
+    """Two bytes of each of a set's first shingles."""
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(v.as_buffer(), np.uint64).astype(np.uint16).tobytes() for v in values], pa.binary())
+    return arrow_udf(run, BinaryType())(prefix)
+
+
+def _enough_marks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that can share enough: what their first shingles share, by marks at most, and all of the rest of one."""
+    for batch in batches:
+        keep = []
+        for m, n, x, y in zip(*(batch.column(k).to_numpy() for k in (2, 3)), batch.column(4), batch.column(5), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint16) for v in (x, y))
+            both = max(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
+            keep.append(both + max(m - len(x), n - len(y)) >= -(-percent * (m + n) // (100 + percent)))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def key_of(doc_id: str, digest: str) -> Column:
     """One value for a document's id and text; never null."""
     return F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(digest))
@@ -237,27 +375,33 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_digest", F.md5("text")).withColumn("_key", key_of("doc_id", "_digest")).drop("_digest")
 
 
-def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (``row, doc_id, n_shingles, d1, d2, keys, sketch``) and classes of equal sets (``d1, d2, node, low``).
+def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``row, doc_id, n_shingles, d1, d2, keys, sketch, prefix``) and classes of equal sets (``d1, d2, node, low``).
 
     ``low`` is the class's first document: smallest doc_id (nulls last), then smallest digest of the text.
     """
-    rows = staged(docs.select("doc_id", F.md5("text").alias("digest"), signed(F.col("text"), width).alias("s"))
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
+    rows = staged(docs.select("doc_id", F.md5("text").alias("digest"), signed(F.col("text"), width, percent, order).alias("s"))
                   .select("doc_id", "digest", "s.*").withColumn("row", F.monotonically_increasing_id()))
     low = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     return rows, staged(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min(low).alias("low")))
 
 
+def sets_of(docs: DataFrame, groups: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, values``: the whole sets of ``nodes`` (``node``)."""
+    wanted = groups.join(nodes.select("node"), "node", "left_semi").select("node", "low")
+    # texts are joined, not sets: they are smaller on the way
+    texts = with_key(docs.select("doc_id", "text")).join(wanted.select("node", key_of("low.doc_id", "low.digest").alias("_key")), "_key")
+    return staged(texts.dropDuplicates(["_key"]).select("node", whole_set(F.col("text"), width).alias("values")))
+
+
 def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, root`` of all nodes that have a link to another class."""
     reps = rows.join(groups.select(F.col("node").alias("row")), "row", "left_semi")
     nodes = reps.select(F.col("row").alias("node"), "n_shingles", "keys", "sketch")
     pairs = staged(neighbours(nodes, percent))
     near = staged(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    wanted = groups.join(near.select("node"), "node", "left_semi").select("node", "low")
-    # texts are joined, not sets: they are smaller on the way
-    texts = with_key(docs.select("doc_id", "text")).join(wanted.select("node", key_of("low.doc_id", "low.digest").alias("_key")), "_key")
-    sets = staged(texts.dropDuplicates(["_key"]).select("node", whole_set(F.col("text"), width).alias("values")))
+    sets = sets_of(docs, groups, near, width)
     # the two most alike candidates of each node first
     ends = pairs.select("a", "b", "likeness", F.explode(F.array("a", "b")).alias("end"))
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("likeness"), "a", "b"))
@@ -270,12 +414,16 @@ def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, perc
     while not (more := staged(confirmed(pivots(near, links, roots, percent), sets, percent))).isEmpty():
         links = links.union(more)
         roots = staged(components(contracted(more, roots)))
-    return roots
+    placed = reps.select(F.col("row").alias("node"), "n_shingles", "prefix").join(roots, "node", "left")
+    pairs = staged(meetings(placed.withColumn("root", F.coalesce("root", "node")), percent))
+    sets = sets_of(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width)
+    more = staged(confirmed(pairs, sets, percent))
+    return roots if more.isEmpty() else staged(components(contracted(more, roots)))
 
 
 def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of `classes`, and per class its component: ``d1, d2, low`` (the component's first document)."""
-    rows, groups = classes(docs, width)
+    rows, groups = classes(docs, width, percent)
     rooted = groups.join(linked(docs, rows, groups, width, percent), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("low"))
     return rows, rooted.select("d1", "d2", "root").join(low, "root").select("d1", "d2", "low")

@@ -76,6 +76,21 @@ def test_hub_joins_copies_that_are_not_alike(spark):
     assert {r["component_id"] for r in got.collect()} == set(brute_components(rows, 2))
 
 
+def test_linked_pairs_among_texts_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 50)
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(170)]
+    rows: list[tuple[int, str]] = []
+    for k in range(300):  # 170 of 203 words are shared by all: 0.71 alike; each with its pair 0.8 or more
+        own = [f"k{k}_{i}" for i in range(33)]
+        rows.append((2 * k, " ".join(template + own)))
+        rows.append((2 * k + 1, " ".join(template + own[:-rng.randint(16, 21)] + [f"z{k}_{i}" for i in range(18)])))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near.groups_of(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    want = dict(zip([i for i, _ in rows], brute_components(rows, 2), strict=True))
+    assert got == want and len(set(want.values())) == 300
+
+
 def test_components_of_long_chains(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(901, 905), (905, 900)], "a long, b long"))
     got = {r["node"]: r["root"] for r in graph.components(links).collect()}
