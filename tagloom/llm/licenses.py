@@ -2,8 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered; a rule is a regular expression
 over the words joined by single blanks, so line ends, punctuation and comment marks do not matter.
-Every rule names the words it cannot match without.  A vectorised look at all words finds the texts that
-hold the required words of any rule, and only these rules run on only these texts.
+Every rule names the words it cannot match without, for each way of writing it ("gpl|gpl2": one of both).
+A vectorised look at all words finds the texts that hold the required words of any rule, and only these
+rules run on only these texts.
 
 Rules come in priorities: 5 license bodies and tags, 4 full grants, 3 statements, 2 bare names, 1
 families.  Overlaps are resolved in order of priority, then length: a detection inside the interval of
@@ -42,41 +43,41 @@ NAMES = [
     ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?"),
     ("x11", "x11", r"(?:the )?x11 licen[cs]e"),
     ("apache-1", "apache", r"(?:the )?apache(?: software)? licen[cs]e(?: version)? 1(?: [01])?"),
-    ("apache-2", "apache", r"(?:the )?apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?(?: licen[cs]e)?"),
-    ("bsd-2", "bsd", r"(?:the )?(?:simplified bsd(?: licen[cs]e)?|freebsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?|(?:2|two) clause bsd(?: licen[cs]e)?)"),
+    ("apache-2", "apache|apache2", r"(?:the )?apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?(?: licen[cs]e)?"),
+    ("bsd-2", "bsd|freebsd", r"(?:the )?(?:simplified bsd(?: licen[cs]e)?|freebsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?|(?:2|two) clause bsd(?: licen[cs]e)?)"),
     ("bsd-3", "bsd", r"(?:the )?(?:new bsd licen[cs]e|modified bsd licen[cs]e|revised bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?|(?:3|three) clause bsd(?: licen[cs]e)?)"),
     ("bsd-4", "bsd", r"(?:the )?(?:original bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?|(?:4|four) clause bsd(?: licen[cs]e)?)"),
-    ("bsd-0", "bsd", r"(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[cs]e)?"),
+    ("bsd-0", "bsd|0bsd", r"(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[cs]e)?"),
     ("isc", "isc", r"(?:the )?isc licen[cs]e"),
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)? licen[cs]e"),
-    ("libpng", "libpng", r"(?:the )?(?:png reference library|libpng) licen[cs]e(?: version 2)?"),
+    ("libpng", "libpng|png reference", r"(?:the )?(?:png reference library|libpng) licen[cs]e(?: version 2)?"),
     ("gpl-1", "gnu", r"(?:the )?gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?1(?: 0)?"),
     ("gpl-2", "gnu", r"(?:the )?gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?2(?: 0)?"),
     ("gpl-3", "gnu", r"(?:the )?gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?3(?: 0)?"),
     ("gpl-2", "gplv2", r"gplv2(?: 0)?"),
     ("gpl-3", "gplv3", r"gplv3(?: 0)?"),
-    ("gpl-2", "gpl", r"(?<!l)(?<!a)gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?<!l)(?<!a)gpl(?: version| v)? ?3(?: 0)?"),
+    ("gpl-2", "gpl|gpl2", r"(?<!l)(?<!a)gpl(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", "gpl|gpl3", r"(?<!l)(?<!a)gpl(?: version| v)? ?3(?: 0)?"),
     ("lgpl-2", "gnu", r"(?:the )?gnu (?:lesser|library) general public licen[cs]e(?: version| v)? ?2(?: 0)?"),
     ("lgpl-2.1", "gnu", r"(?:the )?gnu lesser general public licen[cs]e(?: version| v)? ?2 1"),
     ("lgpl-3", "gnu", r"(?:the )?gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"lgpl(?: version| v)? ?2 1"),
-    ("lgpl-3", "lgpl", r"lgpl(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl|lgpl2", r"lgpl(?: version| v)? ?2 1"),
+    ("lgpl-3", "lgpl|lgpl3", r"lgpl(?: version| v)? ?3(?: 0)?"),
     ("lgpl-3", "lgplv3", r"lgplv3"),
     ("agpl-3", "affero", r"(?:the )?(?:gnu )?affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3", "agpl", r"agpl(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3", "agpl|agpl3", r"agpl(?: version| v)? ?3(?: 0)?"),
     ("agpl-3", "agplv3", r"agplv3"),
     ("gfdl", "gnu", r"(?:the )?gnu free documentation licen[cs]e(?:(?: version| v)? ?1 [123])?"),
     ("mpl-1.1", "mozilla", r"(?:the )?mozilla public licen[cs]e(?: version| v)? ?1 1"),
     ("mpl-2", "mozilla", r"(?:the )?mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"),
-    ("mpl-2", "mpl", r"mpl(?: version| v)? ?2(?: 0)?"),
+    ("mpl-2", "mpl|mpl2", r"mpl(?: version| v)? ?2(?: 0)?"),
     ("epl-1", "eclipse", r"(?:the )?eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"),
     ("epl-2", "eclipse", r"(?:the )?eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"),
     ("edl-1", "eclipse", r"(?:the )?eclipse distribution licen[cs]e(?: version| v)? ?1(?: 0)?"),
-    ("cddl-1", "cddl", r"(?:common development and distribution licen[cs]e )?cddl(?: version| v)? ?1(?: [01])?"),
+    ("cddl-1", "cddl|cddl1", r"(?:common development and distribution licen[cs]e )?cddl(?: version| v)? ?1(?: [01])?"),
     ("cpl-1", "common", r"(?:the )?common public licen[cs]e(?: version| v)? ?1(?: 0)?"),
     ("eupl", "european", r"(?:the )?european union public licen[cs]e(?:(?: version| v)? ?1 [12])?"),
-    ("eupl", "eupl", r"eupl(?:(?: version| v)? ?1 [12])?"),
+    ("eupl", "eupl|eupl1", r"eupl(?:(?: version| v)? ?1 [12])?"),
     ("artistic-1", "artistic", r"(?:the )?artistic licen[cs]e(?: version)? 1(?: 0)?"),
     ("artistic-2", "artistic", r"(?:the )?artistic licen[cs]e(?: version)? 2(?: 0)?"),
     ("boost-1", "boost", r"(?:the )?boost software licen[cs]e(?:(?: version)? 1(?: 0)?)?"),
@@ -131,13 +132,13 @@ SIGNATURES = [
     (5, "apache-2", "licenses apache", r"www apache org licenses licen[cs]e 2 0"),
     (5, "gpl", "redistribute gnu", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     (5, "lgpl", "library redistribute", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    (5, "gpl-2", "redistribute gnu", r"gnu general public license as published by the free software foundation either version 2 of the license"),
-    (5, "gpl-3", "redistribute gnu", r"gnu general public license as published by the free software foundation either version 3 of the license"),
+    (5, "gpl-2", "gnu published either", r"gnu general public license as published by the free software foundation either version 2 of the license"),
+    (5, "gpl-3", "gnu published either", r"gnu general public license as published by the free software foundation either version 3 of the license"),
     (5, "agpl-3", "affero", r"gnu affero general public license as published by the free software foundation either version 3"),
     (5, "mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     (5, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    (5, "wtfpl", "pretend", r"you just do what the f[a-z]+ you want to"),
-    (5, "boost-1", "reproduce", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    (5, "wtfpl", "just what want", r"you just do what the f[a-z]+ you want to"),
+    (5, "boost-1", "organization accompanying", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     (5, "cc0", "publicdomain", r"creativecommons org publicdomain zero 1 0"),
     (5, "cc-by", "creativecommons", r"creativecommons org licenses by [1234] [05]"),
     (5, "cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1234] [05]"),
@@ -145,11 +146,11 @@ SIGNATURES = [
     (5, "cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1234] [05]"),
     (5, "cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1234] [05]"),
     (5, "cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1234] [05]"),
-    (3, "gpl-later", "gnu later", r"version [123] (?:0 )?(?:of the license )?or at your option any later version"),
+    (3, "gpl-later", "later option", r"version [123] (?:0 )?(?:of the license )?or at your option any later version"),
     (3, "public-domain", "domain", r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
     (3, "proprietary", "reserved", r"all rights reserved"),
     (3, "proprietary", "confidential", r"proprietary and confidential"),
-    (3, "no-commercial-use", "commercial", r"(?:for|only) non ?commercial use(?: only)?"),
+    (3, "no-commercial-use", "commercial|noncommercial", r"(?:for|only) non ?commercial use(?: only)?"),
     (2, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
     (1, "gpl", "gnu", r"(?:the )?gnu (?:general public licen[cs]e|gpl)"),
     (1, "lgpl", "gnu", r"(?:the )?gnu (?:lesser|library) general public licen[cs]e"),
@@ -165,14 +166,14 @@ SEPARATORS[65:91] = False  # upper case is lowered, not a border
 
 
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[int, str, frozenset[str], re.Pattern]]:
-    """Priority, label, required words, expression; the order decides ties."""
+def rules() -> list[tuple[int, str, tuple[frozenset[str], ...], re.Pattern]]:
+    """Priority, label, required words of each way of writing, expression; the order decides ties."""
     out = []
     for priority, label, required, body in SIGNATURES:
-        out.append((priority, label, frozenset(required.split()), re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
+        out.append((priority, label, tuple(frozenset(w.split()) for w in required.split("|")), re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
     for label, required, name in NAMES:
         for priority, more, form in FORMS:
-            words = frozenset(required.split()) | frozenset(more.split())
+            words = tuple(frozenset(w.split()) | frozenset(more.split()) for w in required.split("|"))
             out.append((priority, label, words, re.compile(rf"(?<!\S)(?:{form.replace('{}', name)})(?!\S)")))
     return sorted(out, key=lambda r: -r[0])
 
@@ -180,11 +181,13 @@ def rules() -> list[tuple[int, str, frozenset[str], re.Pattern]]:
 @lru_cache(maxsize=1)
 def _gate() -> tuple[np.ndarray, list[str], dict[str, list[int]]]:
     """Hashes of all required words (sorted), the words in that order, and the rules by their rarest word."""
-    everyday = {"under", "see", "common", "open", "mit", "library", "later", "forms", "deal", "gnu", "license", "identifier"}
-    needed = sorted({w for _, _, words, _ in rules() for w in words}, key=W.hash_text)
+    everyday = {"under", "see", "common", "open", "mit", "library", "later", "forms", "deal", "gnu", "license", "identifier", "just", "what", "want",
+                "option", "published", "either", "reference"}
+    needed = sorted({w for _, _, ways, _ in rules() for words in ways for w in words}, key=W.hash_text)
     anchor: dict[str, list[int]] = {}
-    for i, (_, _, words, _) in enumerate(rules()):
-        anchor.setdefault(min(words, key=lambda w: (w in everyday, -len(w), w)), []).append(i)
+    for i, (_, _, ways, _) in enumerate(rules()):
+        for at in sorted({min(words, key=lambda w: (w in everyday, -len(w), w)) for words in ways}):
+            anchor.setdefault(at, []).append(i)
     return np.array([W.hash_text(w) for w in needed], np.uint64), needed, anchor
 
 
@@ -210,7 +213,7 @@ def resolved(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int
 def detect(words: list[str], present: set[str]) -> list[tuple[int, int, int, str]]:
     """Resolved detections as (priority, first word, end word, label)."""
     _, _, anchor = _gate()
-    todo = [i for w in present for i in anchor.get(w, ()) if rules()[i][2] <= present]
+    todo = {i for w in present for i in anchor.get(w, ()) if any(words <= present for words in rules()[i][2])}
     if not todo:
         return []
     joined = " ".join(words)
@@ -254,7 +257,7 @@ def scan_block(block: W.Block) -> list[tuple]:
         low, high = int(found.bounds[i]), int(found.bounds[i + 1])
         spans: list[tuple[int, int, int, str]] = []
         here = present.get(i, set())
-        if any(rules()[r][2] <= here for w in here for r in anchor.get(w, ())):
+        if any(words <= here for w in here for r in anchor.get(w, ()) for words in rules()[r][2]):
             raw = block.data[block.offsets[i]:block.offsets[i + 1]].tobytes()
             shift = int(block.offsets[i])
             words = [raw[s - shift:e - shift].decode(errors="replace").translate(_LOWER)

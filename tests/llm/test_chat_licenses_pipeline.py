@@ -79,6 +79,41 @@ def test_rules_and_containment():
     assert licenses.resolved([(2, 3, 8, "a"), (4, 0, 9, "b"), (4, 2, 9, "c"), (1, 8, 12, "d")]) == [(4, 0, 9, "b"), (1, 8, 12, "d")]
 
 
+def written(parsed, rng) -> str:
+    """A text that the parsed expression matches, by random choices."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            out += chr(rng.choice([c for k, v in arg for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]))
+        elif kind == "BRANCH":
+            out += written(rng.choice(arg[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += written(arg[3], rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(written(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def test_gate_lets_every_way_of_writing_through():
+    rng, tried = random.Random(2), 0
+    for _, label, ways, pattern in licenses.rules():
+        for _ in range(60):
+            text = written(re._parser.parse(pattern.pattern), rng)
+            if pattern.search(text):
+                tried += 1
+                assert any(words_ <= set(text.split()) for words_ in ways), (label, text)
+    assert tried > 50 * len(licenses.rules())
+    for text, label in (("SPDX-License-Identifier: 0BSD", "bsd-0"), ("FreeBSD License", "bsd-2"), ("Apache2", "apache-2"), ("GPL2", "gpl-2"), ("LGPL2.1", "lgpl-2.1"),
+                        ("MPL2", "mpl-2"), ("PNG Reference Library License version 2", "libpng"), ("for noncommercial use", "no-commercial-use"),
+                        ("You just do what the fsck you want to.", "wtfpl"), ("version 2 of the License, or (at your option) any later version", "gpl-later")):
+        assert label in licenses.scan_block(next(words.blocks(pa.array([text]))))[0][5].split(","), text
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tagloom.llm import near, quality
