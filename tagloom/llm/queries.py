@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, langid, licenses, lm, near, packing, quality, topk, toxic
+from tagloom.llm import bpe, chat, fim, langid, licenses, lm, near, packing, quality, topk, toxic, whiten
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select(
         F.col("conv_id").alias("chat_id"), at(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
     return chat.linked(calls, results, links, spark.sql(ASK_SCHEMAS))
+
+
+@query("op11_fill_in_middle", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+n AS (SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS x, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS y,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(lines[1:x], ''), '') AS p, coalesce(array_to_string(lines[x + 1:y], ''), '') AS m,
+             coalesce(array_to_string(lines[y + 1:], ''), '') AS s FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut between lines and rearranged, as digests, with the digest of the text rebuilt from each."""
+    out = fim.transformed(table(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    rebuilt = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of each vector, and how far their covariance is from the identity."""
+    return whiten.whitened_rows(table(spark, sf_dir, "embeddings"), k=8)
