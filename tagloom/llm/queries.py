@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, fim, langid, licenses, lm, near, packing, quality, topk, toxic, whiten
+from tagloom.llm import bpe, chat, fim, jaccard, langid, licenses, lm, near, packing, quality, topk, toxic, whiten
 from tagloom.llm.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of each vector, and how far their covariance is from the identity."""
     return whiten.whitened_rows(table(spark, sf_dir, "embeddings"), k=8)
+
+
+@query("op13_ngram_jaccard_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of 85 percent, on sets of four-word shingles."""
+    return jaccard.groups_of(table(spark, sf_dir, "documents"), width=4, percent=85)

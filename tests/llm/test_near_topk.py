@@ -11,7 +11,7 @@ from tagloom.llm import graph, near, topk
 SF = "/root/testdata/sf0.001"
 
 
-def brute_components(rows: list[tuple[int | None, str | None]], width: int) -> list[int | None]:
+def brute_components(rows: list[tuple[int | None, str | None]], width: int, percent: int = 80) -> list[int | None]:
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
@@ -26,7 +26,7 @@ def brute_components(rows: list[tuple[int | None, str | None]], width: int) -> l
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and 100 * both >= 80 * len(a | sets[j]):
+            if a and 100 * both >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
     out = []
     for i, (doc_id, _) in enumerate(rows):
