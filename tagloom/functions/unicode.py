@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html.entities
 import unicodedata
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -17,49 +19,58 @@ from pyspark.sql import functions as F
 from .bind import bind
 
 NON_ASCII = r"[^\x{00}-\x{7F}]"
-COMBINING = r"[\x{300}-\x{36F}]"
 
 
-def _without_marks(ch: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not "\u0300" <= c <= "\u036f")
+#: a syllable is lead * 588 + vowel * 28 + tail, counted from the first one
+SYLLABLES = r"\x{AC00}-\x{D7A3}"
+LEADS, VOWELS, TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
-@lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str, dict[str, str]]:
-    """(from, to) for one-to-one foldings below Hangul, and the Latin one-to-many foldings."""
-    source, target, many = [], [], {}
-    for code in (*range(0xA0, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
-        ch = chr(code)
-        if "\u0300" <= ch <= "\u036f":
-            continue
-        folded = _without_marks(ch)
-        if folded != ch and len(folded) == 1:
-            source.append(ch)
-            target.append(folded)
-        elif len(folded) > 1 and folded.isascii() and folded.isalpha():
-            many[ch] = folded
-    return "".join(source), "".join(target), many
+def _classed(codes: Iterable[int]) -> str:
+    """The inside of a character class, as ranges."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in spans)
 
 
-def strip_accents(text: Column) -> Column:
-    """Compatibility folding without combining marks; ASCII rows pass untouched."""
-    source, target, many = _accent_tables()
-    out = F.translate(F.regexp_replace(text, COMBINING + "+", ""), source, target)
-    for ch in ("ĳ", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ"):
-        out = F.replace(out, F.lit(ch), F.lit(many[ch]))
-    return F.when(text.rlike(NON_ASCII), out).otherwise(text)
+@dataclass(frozen=True)
+class Tables:
+    """What the standard library's data say about characters, syllables aside."""
+
+    decomposed: dict[str, str]    # canonical, in full
+    compatible: dict[str, str]    # compatibility, in full, without accents
+    pairs: dict[str, str]         # two characters that compose
+    weights: dict[str, int]       # combining class of the characters that have one
+    active: str                   # class of characters that composition may change or join to the one before
 
 
 @lru_cache(maxsize=1)
-def _composed_pairs() -> dict[str, str]:
-    pairs = {}
-    for code in range(0xC0, 0x2000):
-        codes = unicodedata.decomposition(chr(code)).split()
-        if len(codes) == 2 and not codes[0].startswith("<"):
-            pair = "".join(chr(int(c, 16)) for c in codes)
-            if unicodedata.normalize("NFC", pair) == chr(code):
-                pairs[pair] = chr(code)
-    return pairs
+def tables() -> Tables:
+    decomposed, compatible, pairs, weights = {}, {}, {}, {}
+    active = {*map(ord, VOWELS), *map(ord, TAILS)}
+    for code in (*range(0x80, 0xAC00), *range(0xE000, 0x110000)):
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            weights[ch] = unicodedata.combining(ch)
+            active.add(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not "\u0300" <= c <= "\u036f")
+        if plain != ch:
+            compatible[ch] = plain
+        parts = unicodedata.decomposition(ch)
+        if not parts or parts.startswith("<"):
+            continue
+        decomposed[ch] = unicodedata.normalize("NFD", ch)
+        pair = "".join(chr(int(c, 16)) for c in parts.split())
+        if unicodedata.normalize("NFC", ch) != ch:
+            active.add(code)
+        elif len(pair) == 2:
+            pairs[pair] = ch
+            active.add(ord(pair[1]))
+    return Tables(decomposed, compatible, pairs, weights, _classed(active))
 
 
 def _literal_map(entries: dict[str, str]) -> Column:
@@ -68,21 +79,108 @@ def _literal_map(entries: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x01"))
 
 
-def compose(text: Column) -> Column:
-    """Base letter plus combining marks becomes the one composed letter, a pass for each mark of the longest run."""
-    table = _literal_map(_composed_pairs())
+def _jamo(syllable: Column) -> Column:
+    """Lead, vowel and tail of a syllable."""
+    def parts(i: Column) -> Column:
+        def at(letters: str, n: Column) -> Column:
+            return F.substr(F.lit(letters), n.cast("int"), F.lit(1))
+        tail = i % 28
+        return F.concat(at(LEADS, F.floor(i / 588) + 1), at(VOWELS, F.floor(i % 588 / 28) + 1), F.when(tail == 0, "").otherwise(at(TAILS, tail)))
+    return bind(F.ascii(syllable) - 0xAC00, parts)
+
+
+def _pieces(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with its pieces (matches of ``pattern``, which covers it) changed, in one pass."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change), "")
+
+
+def _ordered(text: Column, marks: dict[str, int]) -> Column:
+    """Runs of combining characters by their classes; equal classes stay in order."""
+    inside = _classed(map(ord, marks))
+    names, codes = "".join(marks), "".join(chr(0x100 + w) for w in marks.values())
 
-    def one_pass(value: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s).{COMBINING}"), F.lit(0)))
-        return F.aggregate(found, value, lambda acc, pair: F.replace(
-            acc, pair, F.coalesce(F.element_at(table, pair), pair)))
+    def arranged(run: Column) -> Column:
+        keyed = F.transform(F.split(run, ""), lambda c, i: F.struct(F.ascii(F.translate(c, names, codes)).alias("weight"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda k: k["c"]), "")
 
-    def all_passes(value: Column) -> Column:
-        runs = F.regexp_extract_all(value, F.lit(f"{COMBINING}+"), F.lit(0))
-        longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
-        return F.aggregate(F.sequence(F.lit(1), longest), value, lambda acc, _: one_pass(acc))
+    def change(piece: Column) -> Column:
+        return F.when(piece.rlike(f"^[{inside}]{{2,}}$"), arranged(piece)).otherwise(piece)
 
-    return bind(text, lambda t: F.when(t.rlike(COMBINING), all_passes(t)).otherwise(t))
+    return bind(text, lambda t: F.when(t.rlike(f"[{inside}]{{2}}"), _pieces(t, f"[{inside}]+|[^{inside}]+", change)).otherwise(t))
+
+
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without accents (U+0300 to U+036F); ASCII rows pass untouched."""
+    known = tables()
+    single = {k: v for k, v in known.compatible.items() if len(v) == 1}
+    gone = "".join(k for k, v in known.compatible.items() if not v)
+    many = {k: v for k, v in known.compatible.items() if len(v) > 1}
+    wide = _classed(map(ord, many)) + SYLLABLES
+    expansions = _literal_map(many)
+
+    def expanded(piece: Column) -> Column:
+        return (F.when(piece.rlike(f"^[{SYLLABLES}]"), _jamo(piece))
+                .when(piece.rlike(f"^[{wide}]"), F.element_at(expansions, piece)).otherwise(piece))
+
+    def folded(t: Column) -> Column:
+        plain = F.translate(t, "".join(single) + gone, "".join(single.values()))
+        out = bind(plain, lambda p: F.when(p.rlike(f"[{wide}]"), _pieces(p, f"[{wide}]|[^{wide}]+", expanded)).otherwise(p))
+        return _ordered(out, {k: w for k, w in known.weights.items() if not "\u0300" <= k <= "\u036f"})
+
+    return bind(text, lambda t: F.when(t.rlike(NON_ASCII), folded(t)).otherwise(t))
+
+
+def _joined(first: Column, second: Column) -> Column:
+    """The one character that two compose to, or null."""
+    def place(letters: str, c: Column) -> Column:
+        return F.instr(F.lit(letters), c)
+
+    lead, vowel, tail = place(LEADS, first), place(VOWELS, second), place(TAILS, second)
+    code = F.ascii(first) - 0xAC00
+    syllable = (F.when((lead > 0) & (vowel > 0), 0xAC00 + (lead - 1) * 588 + (vowel - 1) * 28)
+                .when((tail > 0) & code.between(0, 11171) & (code % 28 == 0), 0xAC00 + code + tail))
+    point = F.decode(F.unhex(F.lpad(F.hex(syllable.cast("long")), 8, "0")), "UTF-32")
+    return F.coalesce(point, F.element_at(_literal_map(tables().pairs), F.concat(first, second)))
+
+
+def compose(text: Column) -> Column:
+    """The canonical composed form (NFC).
+
+    Only characters that may change or join the one before them are taken apart, with that one: decomposed,
+    marks put in order, and joined from the left.
+    """
+    known = tables()
+    active, parts = known.active, _literal_map(known.decomposed)
+    names, codes = "".join(known.weights), "".join(chr(0x100 + w) for w in known.weights.values())
+
+    def split_up(c: Column) -> Column:
+        return F.when(c.rlike(f"[{SYLLABLES}]"), _jamo(c)).otherwise(F.coalesce(F.element_at(parts, c), c))
+
+    def step(acc: Column, c: Column) -> Column:
+        def joined(x: Column) -> Column:
+            weight, one = x["weight"], x["one"]
+            starts = weight == 0
+            return (F.when(one.isNotNull(), F.struct(acc["done"].alias("done"), one.alias("first"), acc["tail"].alias("tail"), acc["last"].alias("last")))
+                    .when(starts, F.struct(F.concat(acc["done"], acc["first"], acc["tail"]).alias("done"), c.alias("first"),
+                                           F.lit("").alias("tail"), F.lit(0).alias("last")))
+                    .otherwise(F.struct(acc["done"].alias("done"), acc["first"].alias("first"), F.concat(acc["tail"], c).alias("tail"), weight.alias("last"))))
+
+        code = F.ascii(F.translate(c, names, codes))
+        weight = F.when(c.rlike(f"[{_classed(map(ord, known.weights))}]"), code - 0x100).otherwise(0)
+        # a mark is blocked by one of its own or a higher class before it, a starter by any mark
+        free = (acc["tail"] == "") | (acc["last"] < weight)
+        return bind(F.struct(weight.alias("weight"), F.when(free & (acc["first"] != ""), _joined(acc["first"], c)).alias("one")), joined)
+
+    def put_together(chars: Column) -> Column:
+        start = F.struct(F.lit("").alias("done"), F.lit("").alias("first"), F.lit("").alias("tail"), F.lit(0).alias("last"))
+        return F.aggregate(chars, start, step, lambda acc: F.concat(acc["done"], acc["first"], acc["tail"]))
+
+    def renewed(piece: Column) -> Column:
+        apart = F.array_join(F.transform(F.split(piece, ""), split_up), "")
+        return F.when(piece.rlike(f"[{active}]"), put_together(F.split(_ordered(apart, known.weights), ""))).otherwise(piece)
+
+    pattern = f"[^{active}]?[{active}]+|[^{active}]+(?=[^{active}][{active}])|[^{active}]+"
+    return bind(text, lambda t: F.when(t.rlike(f"[{active}]"), _pieces(t, pattern, renewed)).otherwise(t))
 
 
 @lru_cache(maxsize=1)
