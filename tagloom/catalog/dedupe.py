@@ -10,8 +10,10 @@ from ..operators import corrections as co
 from ..operators import dedupe as op
 from ..operators import metrics
 from ..plans.load import load
+from ..sources.commits import AppendTable
 from .labels import SPEC, labelled, loaded, prepared
 from .registry import Catalog
+from .sources import scratch
 from .views import corrections, items, scored_long, sql_labels, table, with_views
 
 CATALOG = Catalog()
@@ -182,6 +184,20 @@ def j11_counts(spark, sf):
     return co.import_counts(co.classify_import(incoming, base.where("pos % 3 = 0")))
 
 
+@add("j11_appended_log", with_views("corrections", """
+SELECT row_number() OVER (ORDER BY turn, pos) - 1 AS pos, model_name, text, predicted, corrected FROM (
+ SELECT 1 AS turn, pos, model_name, text, predicted, corrected FROM base WHERE pos % 3 = 0 AND length(text) BETWEEN 1 AND 100000 AND dated AND NOT contains(model_name, '/')
+ UNION ALL SELECT 2, pos, model_name, text, predicted, corrected FROM done WHERE outcome = 'imported')""", _IMPORT))
+def j11_log(spark, sf):
+    base, incoming = import_records(spark, sf)
+    book = AppendTable(spark, scratch(spark, "corrections_log"))
+    co.import_into(book, base.where("pos % 3 = 0"), "first backup")
+    for _ in range(2):  # a job that is run again adds nothing
+        co.import_into(book, incoming, "second backup")
+    return book.read().select("pos", "model_name", "text", F.array_join("predicted", ",").alias("predicted"),
+                              F.array_join("corrected", ",").alias("corrected"))
+
+
 _MODEL_NAMES = """ml AS (SELECT DISTINCT concat('http://v/source/', source) AS label,
   CASE WHEN source IN ('src1', 'src2') THEN NULL WHEN source = 'src3' THEN '' ELSE concat('Quelle ', source) END AS name FROM documents),
 nm AS (SELECT DISTINCT concat('http://v/source/', source) AS label, CASE WHEN source IN ('src2', 'src3') THEN '' WHEN source = 'src4' THEN 'Vier' ELSE concat('Quelle ', source) END AS name FROM documents),

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, spreadsheet_safe
-from ..session import beside
+from ..session import beside, cut_lineage
+from ..sources.commits import AppendTable
 from .dedupe import first_ids
+from .paging import page
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a correction may hold; callers may set other bounds."""
+
+    # --- fixed values: bounds of one correction ------------------------------------------
+    text_chars: int = 100_000
+    labels: int = 100
+    label_chars: int = 500
+    source_chars: int = 50
+    # -------------------------------------------------------------------------------------
+
 
-# --- fixed values: bounds of one correction ----------------------------------------------
-MAX_TEXT, MAX_LABELS, MAX_LABEL_CHARS, MAX_SOURCE = 100_000, 100, 500, 50
-# -----------------------------------------------------------------------------------------
 IDENTITY = ("recorded_at", "model_name", "text", "predicted", "corrected")
 
 
@@ -24,8 +38,7 @@ def training_rows(log: DataFrame) -> DataFrame:
 
 def export_page(log: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Training rows oldest first, paged over the rows that are exported."""
-    ordered = training_rows(log).orderBy("pos").offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
+    return page(training_rows(log), "pos", limit, offset)
 
 
 def backup_lines(log: DataFrame) -> DataFrame:
@@ -38,28 +51,48 @@ def identity(prefix: str = "") -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(prefix + c) for c in IDENTITY]), {"ignoreNullFields": "false"}), 256)
 
 
-def is_valid() -> Column:
-    """Bounds of a correction on its way in."""
-    def within(col: str) -> Column:
-        return (F.size(col) <= MAX_LABELS) & F.forall(col, lambda x: F.length(x) <= MAX_LABEL_CHARS)
-
-    return F.coalesce(
-        F.length("text").between(1, MAX_TEXT) & F.col("recorded_at").isNotNull()
-        & F.col("model_name").rlike(r"^[^/\\\x{00}-\x{1F}]+$") & within("predicted") & within("corrected")
-        & (F.length(F.coalesce("source", F.lit("ui"))) <= MAX_SOURCE), F.lit(False))
-
-
-def classify_import(incoming: DataFrame, log: DataFrame) -> DataFrame:
-    """Each incoming record with ``outcome``: imported, duplicate or invalid (order column ``pos``)."""
-    checked = incoming.withColumn("_valid", is_valid()).withColumn("_id", identity())
-    known = log.select(identity().alias("_id")).distinct()
-    fresh = first_ids(checked.where("_valid"), "_id", "pos").join(known, "_id", "left_anti")
+def problems(bounds: Bounds = Bounds()) -> Column:
+    """What is wrong with a correction on its way in; empty for a valid one."""
+    def too_much(col: str) -> Column:
+        return ~((F.size(col) <= bounds.labels) & F.forall(col, lambda x: F.length(x) <= bounds.label_chars))
+
+    rules = {
+        "text": ~F.length("text").between(1, bounds.text_chars),
+        "recorded_at": F.col("recorded_at").isNull(),
+        "model_name": ~F.col("model_name").rlike(r"^[^/\\\x{00}-\x{1F}]+$"),
+        "predicted": too_much("predicted"),
+        "corrected": too_much("corrected"),
+        "source": F.length(F.coalesce("source", F.lit("ui"))) > bounds.source_chars,
+    }
+    # a rule that cannot be decided because of a null is broken
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(True)), name) for name, broken in rules.items()]))
+
+
+def classify_import(incoming: DataFrame, log: DataFrame | None, bounds: Bounds = Bounds()) -> DataFrame:
+    """Each incoming record with ``problems`` and ``outcome``: imported, duplicate or invalid (order column ``pos``)."""
+    checked = incoming.withColumn("problems", problems(bounds)).withColumn("_valid", F.size("problems") == 0).withColumn("_id", identity())
+    fresh = first_ids(checked.where("_valid"), "_id", "pos")
+    if log is not None:
+        fresh = fresh.join(log.select(identity().alias("_id")).distinct(), "_id", "left_anti")
     picked = fresh.select(F.col("kept_id").alias("pos"), F.lit(True).alias("_new"))
     return checked.join(picked, "pos", "left").withColumn(
         "outcome", F.when(~F.col("_valid"), "invalid").when(F.col("_new"), "imported").otherwise("duplicate")
     ).drop("_valid", "_id", "_new")
 
 
+def import_into(table: AppendTable, incoming: DataFrame, batch: str, bounds: Bounds = Bounds()) -> dict[str, int]:
+    """Add the new records among ``incoming`` to the log, all of them or none; how many were new, known and invalid.
+
+    A batch that was added before is not added again, and its counts are those of the first time.
+    """
+    def new_records(log: DataFrame | None) -> tuple[DataFrame, dict[str, int]]:
+        outcomes = cut_lineage(classify_import(incoming, log, bounds))
+        counts = import_counts(outcomes).first().asDict()
+        return outcomes.where("outcome = 'imported'").select(incoming.columns), counts
+
+    return table.append(new_records, batch).facts
+
+
 def import_counts(classified: DataFrame) -> DataFrame:
     return classified.agg(*[F.count_if(F.col("outcome") == o).alias(a) for o, a in
                             (("imported", "imported"), ("duplicate", "duplicates"), ("invalid", "invalid"))])
@@ -69,7 +102,7 @@ def review_page(log: DataFrame, model: str | None, limit: int, offset: int = 0)
     """Newest first, texts shortened for the screen."""
     shown, cut = preview(F.col("text"))
     chosen = log if model is None else log.where(F.col("model_name") == model)
-    return (chosen.orderBy(F.col("pos").desc()).offset(offset).limit(limit)
+    return (page(chosen, "pos", limit, offset, newest_first=True)
             .withColumn("text_truncated", cut).withColumn("text", shown))
 
 
