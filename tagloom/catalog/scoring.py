@@ -231,7 +231,7 @@ def k11_accounting(spark, sf):
     return predict.row_accounting(read, read.select(F.col("doc_id").cast("long").alias("row")))
 
 
-_VARIANTS = r"""wl AS (SELECT conv_id * 1000 + turn AS doc_id, (regexp_extract_all(text, '[\p{L}\p{N}_]+'))[1:60] AS w FROM conversations WHERE role = 'user'),
+_VARIANTS = r"""wl AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM conversations WHERE role = 'user'),
 wv AS (SELECT doc_id, v, CASE WHEN v > 0 THEN w[v] END AS word, array_to_string(list_filter(w, lambda x, i: i <> v), ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, len(w) + 1)) AS v FROM wl WHERE len(w) > 1)),
 wt AS (SELECT concat(doc_id, '|', v) AS doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS t FROM wv),
 vcounts AS (SELECT doc_id, 'word' AS block, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1])))) AS term FROM wt) GROUP BY ALL)"""
@@ -245,7 +245,8 @@ SELECT doc_id AS row_id, label, round(sum(impact), 5) AS total, count(*) AS word
 def k12(spark, sf):
     model = log_odds_model(spark, sf, WORDS_ONLY)
     rows = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
-    base = op.score_texts(op.word_variants(rows, model).where("variant = 0"), model, clean=False)
+    whole = op.listed_words(rows, model).select("row_id", F.array_join("w", " ").alias("text"))
+    base = op.score_texts(whole, model, clean=False)
     chosen = base.select("row_id", F.posexplode(F.slice(de.ranked(F.transform("scores", lambda s: F.struct(
         s["label"].alias("label"), F.round(s["proba"], 9).alias("proba")))), 1, 2)).alias("at", "s")) \
         .select("row_id", "s.label", (F.col("at") + 1).alias("rank"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lines
 from ..functions import ngrams as ng
 from ..session import InputError, broadcast_within, cut_lineage
 from .ranking import running_sums
@@ -41,17 +42,19 @@ def place(rows: DataFrame, row_id: str) -> DataFrame:
     return rows.repartition(row_id)
 
 
+def own_tokens(normal: Column, spec: FeatureSpec) -> Column:
+    """The tokens of a normalised text that the features are made of."""
+    tokens = ng.word_tokens(normal)
+    if spec.drop_words:
+        tokens = F.filter(tokens, lambda w: ~w.isin(*spec.drop_words))
+    return F.transform(tokens, lambda w: lines.stem(w)) if spec.stem else tokens
+
+
 def terms(rows: DataFrame, spec: FeatureSpec = FeatureSpec(), row_id: str = "row_id", text: str = "text",
           keep: Sequence[str] = ()) -> DataFrame:
     """``(row_id, block, term)``, one row per occurrence; a row without terms has one null term."""
     base = rows.select(row_id, *keep, ng.normalised(F.col(text)).alias("_n"))
-    tokens = ng.word_tokens(F.col("_n"))
-    if spec.drop_words:
-        tokens = F.filter(tokens, lambda w: ~w.isin(*spec.drop_words))
-    if spec.stem:
-        from ..functions.lines import stem
-        tokens = F.transform(tokens, lambda w: stem(w))
-    base = base.withColumn("_t", tokens)
+    base = base.withColumn("_t", own_tokens(F.col("_n"), spec))
     low, high = spec.word_ngrams
     words = F.flatten(F.array(*[ng.joined_runs(F.col("_t"), n) for n in range(low, high + 1)]))
     blocks = [F.struct(F.lit("word").alias("block"), words.alias("terms"))]
