@@ -30,13 +30,18 @@ def joined_runs(tokens: Column, n: int) -> Column:
     return grams if n == 1 else F.filter(grams, lambda g: g.isNotNull())
 
 
-def padded_char_runs(normal: Column, n: int = 5) -> Column:
-    """Character n-grams inside space-padded words; a padded word of at most ``n`` is one gram."""
-    pieces = F.filter(F.split(normal, r"\s+"), lambda w: w != "")
+def spaced_words(normal: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(normal, r"\s+"), lambda w: w != "")
+
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        last = F.greatest(F.length(padded) - (n - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(padded, i, F.lit(n)))
+def word_char_runs(word: Column, n: int = 5) -> Column:
+    """Character n-grams of one word padded with spaces; a padded word of at most ``n`` is one gram."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    last = F.greatest(F.length(padded) - (n - 1), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(padded, i, F.lit(n)))
 
-    return F.flatten(F.transform(pieces, grams))
+
+def padded_char_runs(normal: Column, n: int = 5) -> Column:
+    """Character n-grams of each word of a text."""
+    return F.flatten(F.transform(spaced_words(normal), lambda w: word_char_runs(w, n)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines
 from ..functions import ngrams as ng
-from ..session import InputError, broadcast_within, cut_lineage
+from ..session import InputError, broadcast_counted, broadcast_within, cut_lineage
 from .ranking import running_sums
 
 
@@ -78,6 +78,84 @@ def frequencies(counts: DataFrame) -> DataFrame:
         F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _tokenised(rows: DataFrame, spec: FeatureSpec, text: str) -> DataFrame:
+    return rows.select(ng.normalised(F.col(text)).alias("_n")).withColumn("_t", own_tokens(F.col("_n"), spec))
+
+
+def _char_source(spec: FeatureSpec) -> Column:
+    return F.array_join("_t", " ") if spec.drop_words or spec.stem else F.col("_n")
+
+
+def occurrences(rows: DataFrame, spec: FeatureSpec = FeatureSpec(), text: str = "text") -> DataFrame:
+    """``(block, term, cf)``: how often each term stands in all texts.
+
+    No text is shuffled.  Character n-grams never leave their word, so words are counted first, and each
+    distinct word is cut into n-grams once.
+    """
+    base = _tokenised(rows, spec, text)
+    low, high = spec.word_ngrams
+    grams = F.flatten(F.array(*[ng.joined_runs(F.col("_t"), n) for n in range(low, high + 1)]))
+    found = base.select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).select(F.lit("word").alias("block"), "term", "cf")
+    if not spec.use_char:
+        return found
+    words = base.select(F.explode(ng.spaced_words(_char_source(spec))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    chars = words.select(F.explode(ng.padded_char_runs(F.col("word"), spec.char_ngram)).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("cf"))
+    return found.unionByName(chars.select(F.lit("char").alias("block"), "term", "cf"))
+
+
+def document_counts(rows: DataFrame, wanted: DataFrame, spec: FeatureSpec = FeatureSpec(), text: str = "text") -> DataFrame:
+    """``(block, term, df)`` of the ``wanted(block, term)`` that stand in some text; ``wanted`` is a stored table."""
+    base = _tokenised(rows, spec, text)
+    low, high = spec.word_ngrams
+    grams = F.array_distinct(F.flatten(F.array(*[ng.joined_runs(F.col("_t"), n) for n in range(low, high + 1)])))
+    blocks = [F.struct(F.lit("word").alias("block"), grams.alias("terms"))]
+    if spec.use_char:
+        words = F.array_distinct(ng.spaced_words(_char_source(spec)))
+        chars = F.array_distinct(F.flatten(F.transform(words, lambda w: ng.word_char_runs(w, spec.char_ngram))))
+        blocks.append(F.struct(F.lit("char").alias("block"), chars.alias("terms")))
+    listed = base.select(F.explode(F.array(*blocks)).alias("b")).select("b.block", F.explode("b.terms").alias("term"))
+    return (listed.join(broadcast_counted(wanted.select("block", "term"), "term"), ["block", "term"], "left_semi")
+            .groupBy("block", "term").agg(F.count("*").alias("df")))
+
+
+#: terms beyond the cap whose document counts are taken in the first round, as a share of the cap
+SPARE = 0.25
+
+
+def corpus_vocabulary(rows: DataFrame, n_docs: int, spec: FeatureSpec = FeatureSpec(), text: str = "text") -> DataFrame:
+    """The vocabulary of `select_vocabulary`, counting documents only of terms that can still reach the cut.
+
+    The cap takes the terms that stand most often, so occurrences are counted first, and documents only of the
+    terms at the top.  Should too many of these be too rare or too common, the next round takes more.
+    """
+    all_ = cut_lineage(occurrences(rows, spec, text).where(F.col("cf") >= spec.min_df))
+    above = running_sums(all_.groupBy("block", "cf").agg(F.count("*").alias("k")), ["block"], "cf", ["k"])
+    above = cut_lineage(above)  # per frequency: terms that stand at least so often
+    limits = dict(spec.caps())
+    extra = SPARE
+    while True:
+        reach = F.lit(None)
+        for block, limit in limits.items():
+            reach = F.when(F.col("block") == block, int(limit * (1 + extra))).otherwise(reach)
+        # the highest frequency at which there are enough terms, or the lowest there is
+        cuts = above.groupBy("block").agg(F.coalesce(F.max(F.when(F.col("k") >= reach, F.col("cf"))), F.min("cf")).alias("cut"), F.min("cf").alias("lowest"))
+        near = cut_lineage(all_.join(F.broadcast(cuts), "block").where("cf >= cut").select("block", "term", "cf"))
+        counted = cut_lineage(near.join(document_counts(rows, near, spec, text), ["block", "term"]))
+        able = counted.where((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * n_docs))
+        full = {r["block"]: r["n"] for r in able.groupBy("block").agg(F.count("*").alias("n")).collect()}
+        open_ = {r["block"] for r in cuts.where("cut > lowest").collect()}
+        if all(full.get(block, 0) >= limits[block] for block in open_ & limits.keys()):
+            return select_vocabulary(counted, n_docs, spec)
+        extra = 4 * extra + 1
+
+
+def known_counts(rows: DataFrame, vocab: DataFrame, spec: FeatureSpec = FeatureSpec(), row_id: str = "row_id", text: str = "text") -> DataFrame:
+    """``(row_id, block, term, tf)`` of the vocabulary's terms: other terms are gone before anything is counted."""
+    listed = terms(place(rows, row_id), spec, row_id, text).where("term IS NOT NULL")
+    known = vocabulary_hint(vocab.select("block", "term"), spec)
+    return listed.join(known, ["block", "term"], "left_semi").groupBy(row_id, "block", "term").agg(F.count("*").alias("tf"))
+
+
 def select_vocabulary(freq: DataFrame, n_docs: Column | int, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """``(block, term, df, idf, column)``: the capped vocabulary in alphabetical column order.
 
@@ -115,7 +193,7 @@ def select_vocabulary(freq: DataFrame, n_docs: Column | int, spec: FeatureSpec =
 
 def require_vocabulary(vocab: DataFrame) -> None:
     if vocab.isEmpty():
-        raise InputError("after pruning, no terms remain; try a lower min_df or a higher max_df")
+        raise InputError("the vocabulary is empty: lower min_df or raise max_df")
 
 
 def vocabulary_hint(vocab: DataFrame, spec: FeatureSpec, extra_bytes: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ def three_way(df: DataFrame, row_id: str, seed: int, val_size: float = 0.15, tes
     Driver side: a count and two order statistics; the assignment itself is map-side.
     """
     if val_size + test_size >= 1:
-        raise InputError(f"validation_size ({val_size}) + test_size ({test_size}) must stay below 1")
+        raise InputError(f"shares {val_size} and {test_size} are held out; no row is left to learn from")
     n = df.count()
     n_val, n_test = half_even(n * val_size), half_even(n * test_size)
     train, val = ranking.digest_cuts(df, row_id, seed, [n - n_val - n_test, n - n_test])
@@ -98,7 +98,7 @@ def real_rows_only(df: DataFrame, row_id: str, seed: int, val_size: float = 0.15
     n_real = real.count()
     if min(half_even(n_real * val_size), half_even(n_real * test_size)) == 0:
         return (three_way(df, row_id, seed, val_size, test_size),
-                f"only {n_real} real rows, too few for a validation and a test part")
+                f"{n_real} real rows cannot fill both a validation and a test part")
     return three_way(real, row_id, seed, val_size, test_size).unionByName(
         marked.withColumn("part", F.lit("train"))), None
 
