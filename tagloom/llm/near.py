@@ -17,8 +17,10 @@
 5. Exact step: steps 2 to 4 only find links early.  In a common order of all shingles, frequent ones last,
    two sets that are alike enough share a shingle at places i and j with at least as many shingles left in
    both as they must have in common.  So each set is put down under its first shingles, and all pairs with
-   such a shingle in different components are confirmed, if their first shingles alone do not rule it out.  Shingles that only one component holds are left
-   out; the others are split into blocks of BLOCK sets, and each pair of blocks is a group of its own.
+   such a shingle in different components are confirmed, if their first shingles alone do not rule it out.
+   The order comes from counters over the shingles of all texts, so first shingles are rare ones at every size.
+   Shingles that only one component holds are left out; the others are split into blocks of BLOCK sets, and
+   each pair of blocks is a group of its own.
 6. Components of the confirmed links; all steps are joins and aggregates.
 
 The windows of step 2 hold few of the neighbours where many texts share a template; step 5 has no such
@@ -43,9 +45,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, FloatType, LongType, StructField, StructType
 
+from tagloom.llm import counters
 from tagloom.llm import words as W
 from tagloom.llm.graph import components, nearby
-from tagloom.llm.staging import staged
+from tagloom.llm.staging import discard, staged
 
 TREES = 16
 DEPTH = 8
@@ -55,9 +58,8 @@ PIVOT_DEPTH = 5
 SKETCH = 64
 #: sets of one block of a shingle in the exact step
 BLOCK = 512
-#: texts whose shingles are counted for the order, and shingles that are put last
-ORDER_TEXTS = 4000
-FREQUENT = 1 << 18
+#: counters of each of the two tables that give the order of shingles (a power of two)
+TABLE = 1 << 21
 _rng = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -90,32 +92,33 @@ def set_digest(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return total(values), total(W.mix(values ^ np.uint64(0x5851F42D4C957F2D)))
 
 
-def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of texts, sorted, and their counts."""
-    every = max(1, docs.count() // ORDER_TEXTS)
+def _counter(values: np.ndarray, row: int) -> np.ndarray:
+    return ((values >> np.uint64(21 * row)) & np.uint64(TABLE - 1)).astype(np.int64) + row * TABLE
 
+
+def frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """Two tables of counters over the shingles of all texts, equal sets of one task once (a count-min sketch)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, some = np.zeros(2 * TABLE, np.uint32), set(), False
         for batch in batches:
             for block in W.blocks(batch.column(0)):
-                value, n = np.unique(W.shingle_sets(W.words(block, lower=True), width)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+                values, bounds = W.shingle_sets(W.words(block, lower=True), width)
+                node = set_digest(values, bounds)[0].tolist()
+                keep = np.array([not (x in seen or seen.add(x)) for x in node], bool)
+                fresh = values[np.repeat(keep, np.diff(bounds))]
+                for row in (0, 1):
+                    np.add.at(table, _counter(fresh, row), np.uint32(1))
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays(counters.pieces(table), counters.PIECE.names)
 
-    schema = StructType([StructField("h", LongType()), StructField("n", LongType())])
-    some = docs.where(F.pmod(F.crc32("text"), F.lit(every)) == 0).select("text")
-    counts = some.mapInArrow(run, schema).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    value = top["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(value)
-    return value[order], top["n"].to_numpy().astype(np.int64)[order]
+    table = counters.summed(docs.select("text").mapInArrow(run, counters.PIECE), 2 * TABLE)
+    return np.minimum(table, (1 << 32) - 1).astype(np.uint32)
 
 
-def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, order: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, table: np.ndarray) -> list[bytes]:
     """The first shingles of each set in the common order, as many as a similar set must meet."""
-    often, n = order
-    rank = np.zeros(len(values), np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-        rank = np.where(often[at] == values, n[at], 0)
+    rank = np.minimum(table[_counter(values, 0)], table[_counter(values, 1)])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         size = b - a
@@ -357,22 +360,28 @@ def marks(prefix: Column) -> Column:
 
 def _enough_marks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that can share enough: what their first shingles share, by marks at most, and all of the rest of one."""
-    for batch in batches:
-        keep = []
-        for m, n, x, y in zip(*(batch.column(k).to_numpy() for k in (2, 3)), batch.column(4), batch.column(5), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint16) for v in (x, y))
-            both = max(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
-            keep.append(both + max(m - len(x), n - len(y)) >= -(-percent * (m + n) // (100 + percent)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def key_of(doc_id: str, digest: str) -> Column:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            m, n = (batch.column(k).to_numpy() for k in (2, 3))
+            held, keyed = [], []
+            for k in (4, 5):  # a batch's marks side by side, each with the number of its pair
+                marks = batch.column(k).to_pylist()
+                held.append(np.array([len(v) // 2 for v in marks], np.int64))
+                keyed.append((np.repeat(np.arange(len(marks)), held[-1]) << 16) + np.frombuffer(b"".join(marks), np.uint16))
+            both = [np.bincount(x[np.isin(x, y)] >> 16, minlength=len(m)) for x, y in (keyed, keyed[::-1])]
+            enough = np.maximum(*both) + np.maximum(m - held[0], n - held[1]) >= -(-percent * (m + n) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(enough))
+
+
+def key_of(doc_id: Column, digest: Column) -> Column:
     """One value for a document's id and text; never null."""
-    return F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(digest))
+    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), digest)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_digest", F.md5("text")).withColumn("_key", key_of("doc_id", "_digest")).drop("_digest")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``key, row``: each row whole, so that no column of the caller's can clash."""
+    return docs.select(key_of(F.col("doc_id"), F.md5("text")).alias("key"), F.struct("*").alias("row"))
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -380,7 +389,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
     ``low`` is the class's first document: smallest doc_id (nulls last), then smallest digest of the text.
     """
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
+    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
     rows = staged(docs.select("doc_id", F.md5("text").alias("digest"), signed(F.col("text"), width, percent, order).alias("s"))
                   .select("doc_id", "digest", "s.*").withColumn("row", F.monotonically_increasing_id()))
     low = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
@@ -391,8 +400,8 @@ def sets_of(docs: DataFrame, groups: DataFrame, nodes: DataFrame, width: int) ->
     """``node, values``: the whole sets of ``nodes`` (``node``)."""
     wanted = groups.join(nodes.select("node"), "node", "left_semi").select("node", "low")
     # texts are joined, not sets: they are smaller on the way
-    texts = with_key(docs.select("doc_id", "text")).join(wanted.select("node", key_of("low.doc_id", "low.digest").alias("_key")), "_key")
-    return staged(texts.dropDuplicates(["_key"]).select("node", whole_set(F.col("text"), width).alias("values")))
+    texts = keyed(docs.select("doc_id", "text")).join(wanted.select("node", key_of(F.col("low.doc_id"), F.col("low.digest")).alias("key")), "key")
+    return staged(texts.dropDuplicates(["key"]).select("node", whole_set(F.col("row.text"), width).alias("values")))
 
 
 def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
@@ -410,23 +419,29 @@ def linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, perc
     partly = staged(nearby(links))
     rest = across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), partly)
     links = links.union(staged(confirmed(rest.union(pivots(near, links, partly, percent)), sets, percent)))
+    discard(pairs, first)
     roots = staged(components(contracted(links, partly)))
     while not (more := staged(confirmed(pivots(near, links, roots, percent), sets, percent))).isEmpty():
         links = links.union(more)
         roots = staged(components(contracted(more, roots)))
+    discard(sets, near)
     placed = reps.select(F.col("row").alias("node"), "n_shingles", "prefix").join(roots, "node", "left")
     pairs = staged(meetings(placed.withColumn("root", F.coalesce("root", "node")), percent))
     sets = sets_of(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width)
     more = staged(confirmed(pairs, sets, percent))
+    discard(sets, pairs)
     return roots if more.isEmpty() else staged(components(contracted(more, roots)))
 
 
 def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of `classes`, and per class its component: ``d1, d2, low`` (the component's first document)."""
+    """``doc_id, n_shingles, d1, d2`` per row, and per class its component: ``d1, d2, low`` (the component's first document)."""
     rows, groups = classes(docs, width, percent)
     rooted = groups.join(linked(docs, rows, groups, width, percent), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("low"))
-    return rows, rooted.select("d1", "d2", "root").join(low, "root").select("d1", "d2", "low")
+    named = staged(rooted.select("d1", "d2", "root").join(low, "root").select("d1", "d2", "low"))
+    few = staged(rows.select("doc_id", "n_shingles", "d1", "d2"))
+    discard(rows, groups)
+    return few, named
 
 
 def groups_of(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -444,7 +459,7 @@ def groups_of(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: its first document.  Rows without words stay."""
     _, named = grouped(docs, width, percent)
-    firsts = named.select(key_of("low.doc_id", "low.digest").alias("_key")).distinct()
+    firsts = named.select(key_of(F.col("low.doc_id"), F.col("low.digest")).alias("key")).distinct()
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = with_key(docs.where(worded)).join(firsts, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = keyed(docs.where(worded)).join(firsts, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
     return kept.union(docs.where(~worded))

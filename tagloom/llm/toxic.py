@@ -51,7 +51,7 @@ TOXIC_WEIGHT = 10
 MOST_TEXTS = 30
 #: units longer than this are read in overlapping stretches
 LONGEST = 40
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 250_000
 _SYMBOLS = 40
 #: letters in one subsequence
 ORDER = 4

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -33,7 +33,7 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) > 16 * BLOCK_BYTES:  # of one huge text: not kept
+        if len(have) > 64 * BLOCK_BYTES:  # of one huge text: not kept
             return have
         _powers[kind] = have
     return have

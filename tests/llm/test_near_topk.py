@@ -63,6 +63,14 @@ def test_components_equal_brute_force(spark, width):
     assert near.groups_of(docs.limit(0), width).count() == 0
 
 
+def test_columns_of_the_caller_stay_as_they_are(spark):
+    names = ("key", "row", "_key", "_digest", "node", "h")
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(["one two three four five six", "one two three four five six", "", None, "seven eight"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = near.first_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[i] for i in (0, 2, 3, 4)]
+
+
 def test_hub_joins_copies_that_are_not_alike(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
