@@ -81,7 +81,8 @@ def f4(spark, sf):
 
 @add("f5_vocabulary", f"WITH {COUNTS}, {vocab_sql(SPEC)} SELECT block, term, df, CAST(col AS INT) AS \"column\", round(idf, 5) AS idf FROM vocab")
 def f5(spark, sf):
-    return vocab(spark, sf).select("block", "term", "df", "column", F.round("idf", 5).alias("idf"))
+    rows = docs(spark, sf)
+    return op.corpus_vocabulary(rows, rows.count(), SPEC).select("block", "term", "df", "column", F.round("idf", 5).alias("idf"))
 
 
 @add("f6_tfidf", f"""WITH {COUNTS}, {vocab_sql(SMALL)}, {WEIGHTED} SELECT doc_id, block, term, round(v, 5) AS tfidf FROM tfidf""")

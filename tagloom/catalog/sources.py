@@ -43,18 +43,25 @@ def s2(spark, sf):
     return delimited.read_delimited(spark, path, ["keywords"], "labels", partitions=4).drop("_file", "_at")
 
 
-@add("s4_encoding_audit", r"""
-WITH l AS (SELECT source AS file, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
-c AS (SELECT file, CASE WHEN file IN ('src1', 'src2', 'src3') THEN 0 ELSE len(regexp_extract_all(line, '[^\x{00}-\x{7F}]')) END AS valid,
- CASE WHEN file IN ('src1', 'src2', 'src3') THEN len(regexp_extract_all(line, '[^\x{00}-\x{7F}]')) ELSE 0 END AS invalid FROM l)
-SELECT file, CAST(sum(valid) AS BIGINT) AS valid, CAST(sum(invalid) AS BIGINT) AS invalid, CASE WHEN sum(invalid) = 0 THEN 'utf-8'
- WHEN sum(valid) <= 0.05 * (sum(valid) + sum(invalid)) THEN 'cp1252' ELSE 'other' END AS encoding FROM c GROUP BY file""")
+_CODED = r"""l AS (SELECT source AS file, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+c AS (SELECT *, file IN ('src1', 'src2', 'src3') AS recoded, regexp_replace(line, '[^\x{00}-\x{FF}]', 'é', 'g') AS shown, len(regexp_extract_all(line, '[^\x{00}-\x{7F}]')) AS n FROM l)"""
+
+
+@add("s4_encoding_audit", rf"""
+WITH {_CODED}
+SELECT file, CAST(sum(CASE WHEN recoded THEN 0 ELSE n END) AS BIGINT) AS valid, CAST(sum(CASE WHEN recoded THEN n ELSE 0 END) AS BIGINT) AS invalid,
+ arg_min(shown, (doc_id, place)) FILTER (WHERE recoded AND n > 0) AS bad_line,
+ CASE WHEN sum(CASE WHEN recoded THEN n ELSE 0 END) = 0 THEN 'utf-8' WHEN recoded THEN 'cp1252' ELSE 'other' END AS encoding FROM c GROUP BY file, recoded""")
 def s4(spark, sf):
-    # three sources' lines are re-coded to Latin-1, so their accented letters are stray bytes
-    raw = table(spark, sf, "documents").select(F.col("source").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
+    # one file per source; three sources' lines are written as Latin-1, so their accented letters are stray bytes
+    folder = scratch(spark, "exports")
+    lines = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     latin = F.encode(F.regexp_replace("line", r"[^\x{00}-\x{FF}]", "é"), "ISO-8859-1")
-    value = F.when(F.col("file").isin("src1", "src2", "src3"), latin).otherwise(F.encode("line", "UTF-8"))
-    return encoding.audit(raw.select("file", value.alias("value"))).select("file", "valid", "invalid", "encoding")
+    value = F.when(F.col("source").isin("src1", "src2", "src3"), latin).otherwise(F.encode("line", "UTF-8")).cast("string")
+    (lines.repartition("source").sortWithinPartitions("source", "doc_id", "at").select("source", value.alias("value"))
+     .write.partitionBy("source").text(folder))
+    shown = F.decode(F.col("bad_line").cast("binary"), "ISO-8859-1").alias("bad_line")
+    return encoding.audit_files(spark, folder).select(F.regexp_extract("file", "source=([^/]+)", 1).alias("file"), "valid", "invalid", shown, "encoding")
 
 
 @add("s5_separator_detection", """

@@ -118,40 +118,32 @@ def weak_holdout(df: DataFrame, weak: DataFrame, row_id: str, seed: int, labels:
         "held", uniform(row_id, seed) < F.when(F.col("_weak"), p_weak).otherwise(p_rest)).drop("_weak")
 
 
+#: ranges of row ids whose rows are counted per label
+RANGES = 4096
+
+
 def quota_mine(raw: DataFrame, needed: DataFrame, row_id: str, labels: str = "labels") -> DataFrame:
-    """Rows taken in order until every label ``(label, need)`` is filled or has no row left.
+    """Rows that a pass in id order takes while any of their labels ``(label, need)`` is short of rows.
 
-    In a round a row stands for one label -- the one it is asked for with the largest need (ties
-    by name) -- and per label the first ``need`` rows are taken; the row_number filter cuts each
-    task to that many rows before the shuffle.  What the taken rows give to other labels counts
-    as well, and the next round runs on what is still needed.  No label takes more rows for
-    itself than it needs.
+    A row with a label that is still open is always taken, so a label is filled by the first ``need`` rows that
+    carry it, whatever other labels do; the rows taken are all of these.  Rows are counted per label and range of
+    ids, running sums show the range in which each quota fills, and only the rows of those ranges are numbered.
+    ``selected_for`` is the first of the labels, by name, that the row counted for.  Ids are whole numbers.
     """
-    wanted = raw.select(row_id, F.explode(labels).alias("label")).join(needed.select("label"), "label", "left_semi")
-    taken, need, rounds = None, needed, needed.count()
-    for _ in range(rounds):
-        open_ = need.where("need > 0")
-        largest = open_.agg(F.max("need")).first()[0]
-        if largest is None:
-            break
-        left = wanted if taken is None else wanted.join(taken, row_id, "left_anti")
-        asked = (left.join(open_, "label").groupBy(row_id).agg(F.max(F.struct("need", "label")).alias("pick"))
-                 .select(row_id, "pick.label", "pick.need"))
-        ordered = Window.partitionBy("label").orderBy(row_id)
-        fresh = cut_lineage(asked.withColumn("_k", F.row_number().over(ordered))
-                            .where((F.col("_k") <= int(largest)) & (F.col("_k") <= F.col("need")))
-                            .select(row_id, F.col("label").alias("selected_for")))
-        if fresh.isEmpty():
-            break
-        given = wanted.join(fresh.select(row_id), row_id, "left_semi").groupBy("label").agg(F.count("*").alias("got"))
-        need = cut_lineage(need.join(given, "label", "left").select(
-            "label", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
-        rows = fresh.select(row_id)
-        taken = rows if taken is None else taken.union(rows)
-        picked = fresh if _ == 0 else picked.union(fresh)
-    if taken is None:
-        return raw.limit(0).withColumn("selected_for", F.lit(None).cast("string"))
-    return raw.join(picked, row_id)
+    wanted = needed.where("need > 0").groupBy("label").agg(F.max("need").alias("need"))
+    bounds = raw.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
+    low, high = bounds["low"] or 0, bounds["high"] or 0
+    block = F.floor((F.col(row_id) - F.lit(low)) / ((high - low) // RANGES + 1)).alias("block")
+    carried = raw.select(row_id, block, F.explode(F.array_distinct(labels)).alias("label")).join(wanted.select("label"), "label", "left_semi")
+    before = Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut_lineage(carried.groupBy("label", "block").agg(F.count("*").alias("n"))
+                          .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(wanted, "label").where("before < need"))
+    whole = carried.join(counted.where("before + n <= need").select("label", "block"), ["label", "block"], "left_semi")
+    filling = carried.join(counted.where("before + n > need").select("label", "block", (F.col("need") - F.col("before")).alias("room")), ["label", "block"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(row_id))
+    first = filling.withColumn("_k", place).where(F.col("_k") <= F.col("room"))
+    taken = whole.select(row_id, "label").union(first.select(row_id, "label"))
+    return raw.join(taken.groupBy(row_id).agg(F.min("label").alias("selected_for")), row_id)
 
 
 def per_label_sample(rows: DataFrame, k: int, seed: int, row_id: str = "row_id", labels: str = "labels") -> DataFrame:

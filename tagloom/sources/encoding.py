@@ -50,6 +50,10 @@ def audit(lines: DataFrame, file: str = "file", line: str = "value", at: str | N
 
 
 def audit_files(spark: SparkSession, path: str) -> DataFrame:
-    """``audit`` over files (compressed ones by suffix)."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return audit(raw)
+    """``audit`` over files (compressed ones by suffix), with the first bad line of each.
+
+    A line's place is where its part of the file starts, then its turn in that part.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("turn"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("at"))
+    return audit(raw, at="at")

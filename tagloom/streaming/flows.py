@@ -6,6 +6,8 @@ runs twice after a failure leaves one result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corrections import identity
 from ..operators.decisions import answer_lines
-from ..operators.dedupe import first_ids
 from ..plans.predict import predict
 from ..sources.jsonl import CORRECTION, parse_lines
 from ..sources.model_tables import Model
@@ -67,24 +68,18 @@ def unrepeated_within(records: DataFrame, event_time: str, delay: str) -> DataFr
             .dropDuplicatesWithinWatermark(["_identity"]).drop("_identity"))
 
 
-def first_wins_stream(rows: DataFrame, key: str, row_id: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """First occurrence of every key over arriving blocks.
+def first_wins_stream(rows: DataFrame, key: str, row_id: str, sink: str, checkpoint: str, carry: Sequence[str] = ()) -> StreamingQuery:
+    """First row of every key over arriving blocks: ``row_id, key`` and the columns to ``carry``.
 
-    Kept keys live in the sink itself, one folder per batch; a block is reduced on its own first and
-    then matched against the keys of earlier batches by a shuffle on the key, where every key
-    occurs once on either side.
+    An earlier block wins, and inside a block the smallest id.  What has been seen is state of the stream, one
+    small row per key (with what is carried), so a block costs what its own keys cost, however many came before;
+    on a cluster the state belongs into a RocksDB store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_ids(batch, key, row_id)
-        if number > 0:
-            kept = (spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={i}" for i in range(number)])
-                    .select(F.col(key)))
-            fresh = fresh.join(kept, key, "left_anti")
-        chosen = fresh.select(F.col("kept_id").alias(row_id))
-        _batch_sink(batch.join(chosen, row_id, "left_semi"), sink, number)
-
-    return _start(rows.writeStream.foreachBatch(step), checkpoint)
+    # all rows of a block have the block's time, also when it is run again
+    arrival = F.struct(F.col("_at").alias("at"), F.col(row_id), *[F.col(c) for c in carry])
+    first = rows.withColumn("_at", F.current_timestamp()).groupBy(key).agg(F.min(arrival).alias("first")).where(F.col("first.at") == F.current_timestamp())
+    kept = first.select(F.col(f"first.{row_id}").alias(row_id), key, *[F.col(f"first.{c}").alias(c) for c in carry])
+    return _start(kept.writeStream.outputMode("update").foreachBatch(lambda batch, number: _batch_sink(batch, sink, number)), checkpoint)
 
 
 def running_counts(records: DataFrame, column: str, sink: str, checkpoint: str) -> StreamingQuery:
