@@ -168,6 +168,16 @@ def doc_scores(spark, sf, model=None):
     return op.score_texts(docs, model or log_odds_model(spark, sf), "doc_id", clean=False)
 
 
+def wide_model(spark, sf, n: int) -> Model:
+    """A model of the default feature caps and ``n`` labels whose coefficients are digests: for timing, not for sense."""
+    spec, rows = fo.FeatureSpec(), table(spark, sf, "documents").select("doc_id", "text")
+    vocab = cut_lineage(fo.corpus_vocabulary(rows, rows.count(), spec))
+    labels = [LabelInfo(f"http://v/wide/{i:03d}", 0.0) for i in range(n)]
+    coef = vocab.select("block", "term", F.explode(F.array(*[F.lit(x.label) for x in labels])).alias("label")).withColumn(
+        "coef", (F.pmod(F.xxhash64("term", "label"), F.lit(2000)) - 1000) / 1000.0)
+    return Model(labels, vocab, cut_lineage(coef), {"text_cleaning": 2})
+
+
 @add("k1_probabilities", f"WITH {model_sql(SPEC)}, {_SCORED} SELECT doc_id, label, round(proba, 5) AS proba FROM probas")
 def k1(spark, sf):
     return op.long_scores(doc_scores(spark, sf), "doc_id").select("doc_id", "label", F.round("proba", 5).alias("proba"))
