@@ -10,8 +10,8 @@ Shards are searched in waves.  The first wave takes one shard per block; its kth
 the blocks into the second wave, where all other shards start from them and skip nearly all nodes.
 Each (shard, query) returns at most k rows, and the best k of them are taken by a window.
 
-Components are integers, floor(64 * x); scores are exact: in float64 while they stay below 2^53, else in
-Python integers.  Ties go to the smaller id, so nodes whose bound equals the kth score are still visited.
+Components are integers, floor(64 * x), held at +-2^62; scores are exact: in float64 while they stay below
+2^53, else in Python integers, held at the bounds of a long.  Ties go to the smaller id, so nodes whose bound equals the kth score are still visited.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, rows with a null id
 neither.  Vectors are compared with those of the same length.  Equal vectors and rows with equal ids
@@ -117,9 +117,14 @@ class BallTree:
 def integral(vector: Column) -> Column:
     """floor(64 * x) of each component; null where a component is null, not finite or the vector is empty."""
     def whole(x: Column) -> Column:
-        return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0 ** 56)
+        return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf")))
+
+    def part(x: Column) -> Column:
+        scaled = F.greatest(F.least(x.cast("double"), F.lit(2.0 ** 56)), F.lit(-(2.0 ** 56))) * 64
+        return F.floor(scaled).cast("long")
+
     ok = F.forall(vector, whole) & (F.size(vector) > 0)
-    return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * 64).cast("long")))
+    return F.when(ok, F.transform(vector, part))
 
 
 def _packed(rows: DataFrame, group: Column, name: str) -> DataFrame:
@@ -144,7 +149,8 @@ def _exact(rows: np.ndarray, queries: np.ndarray) -> bool:
 def _plain(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
     """For components too large for exact floats."""
     q = [int(x) for x in query]
-    scores = sorted(((-sum(a * int(b) for a, b in zip(q, r, strict=True)), int(i)) for i, r in zip(ids, rows, strict=True) if i != own))
+    held = (max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(q, r, strict=True)))) for r in rows)
+    scores = sorted((-s, int(i)) for i, s in zip(ids, held, strict=True) if i != own)
     return [(-s, i) for s, i in scores[:k] if -s >= least]
 
 

@@ -107,12 +107,15 @@ def test_components_of_long_chains(spark):
 
 def brute_top(rows, k):
     import math
-    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows
+    def held(x, bits):
+        return max(-(1 << bits), min((1 << bits) - (bits == 63), x))
+
+    good = [(i, [held(math.floor(64 * x), 62) for x in v]) for i, v in rows
             if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in good:
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))[:k]
+            best = sorted((-held(sum(x * y for x, y in zip(a, b, strict=True)), 63), i) for i, b in good if i != q and len(a) == len(b))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -124,7 +127,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     rows += [(i, [0.5, -0.25, 1.0, 0.0, 2.0, -1.0]) for i in range(400, 520)]  # equal vectors: ties go to smaller ids
     rows += [(520, None), (540, []), (560, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (580, [float("nan")] * 6), (600, [float("inf")] + [0.0] * 5),
-             (None, [1.0] * 6), (620, [1.0, 2.0]), (621, [3.0, -1.0]), (640, [1e13] * 6)]
+             (None, [1.0] * 6), (620, [1.0, 2.0]), (621, [3.0, -1.0]), (640, [1e13] * 6), (641, [1e13] * 6), (660, [1e17, -1e300, 0.0, 0.0, 0.0, 1.0]), (661, [-1e17] * 6)]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "id long, vector array<double>, score int")
     got = topk.top_k(frame, F.col("id") % 20 == 0, k=5)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 5)
