@@ -2,6 +2,11 @@
 
 Each stage reads what the one before it wrote and judges only that.  `run` writes the tables between
 the stages to the folder that ``spark.checkpoint.dir`` names.
+
+Null and empty texts have too few words and go in the first stage; equal texts and repeated rows are one
+group, of which the row with the smallest doc_id stays (nulls last; of equal rows one).  Rows with a null
+doc_id, lang or source are judged like others.  Columns beside those of documents stay as they are until
+packing, whatever their names.  Without labels no document is toxic; an empty table gives no rows.
 """
 
 from __future__ import annotations

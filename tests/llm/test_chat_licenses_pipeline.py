@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from tagloom.llm import chat, licenses, queries, words
+from tagloom.llm import chat, licenses, queries, toxic, words
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -127,5 +127,30 @@ def test_pipeline_stages(spark):
     firsts = corpus_pipeline.near_dedup(spark, good, SF)
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
     assert {r["doc_id"] for r in firsts.collect()} == set(brute_components(rows, 5)) and near and quality
+    # the whole pipeline, its second stage text by text and its third by all pairs
+    machine = toxic.Scorer(toxic.learn(good, spark.read.parquet(f"{SF}/labels.parquet")))
+    clean = [(i, t) for i, t in rows if machine.scores([t])[0] < 0.5]
+    assert len(clean) < len(rows)
     placed = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in placed} <= set(brute_components(rows, 5)) | judged and placed
+    assert {r["doc_id"] for r in placed} == set(brute_components(clean, 5))
+
+
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    plain = [" ".join(f"word{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(3)]
+    texts = [(1, plain[0]), (2, plain[0]), (2, plain[0]), (None, plain[0]), (3, plain[1] + " " + plain[2]), (None, plain[2]), (4, None), (5, ""), (6, " \n"), (7, "two words")]
+    names = ("row", "key", "m", "fences", "_toxic_score", "node", "digest")
+    rows = [(i, t, None if i == 3 else "en", None if i == 2 else "s", 0 if t is None else len(t), *[f"{n}{i}" for n in names]) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for some, kept in ((docs, [(None, plain[2]), (1, plain[0]), (3, plain[1] + " " + plain[2])]), (docs.limit(0), [])):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == docs.columns, name
+        out = now.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(kept, key=str)
+        assert all(r["key"] == f"key{r['doc_id']}" and r["_toxic_score"] == f"_toxic_score{r['doc_id']}" for r in out)
+        placed = corpus_pipeline.best_fit_packing(spark, now, SF).collect()
+        assert sorted((r["length"] for r in placed), reverse=True) == sorted((len(t.split()) for _, t in kept), reverse=True)
