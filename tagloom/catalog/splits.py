@@ -64,7 +64,7 @@ def x4(spark, sf):
 
 
 @add("x5_quota_mining", with_views("items", """
-SELECT row_id, min(label) AS selected_for FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) AS k, count(*) OVER (PARTITION BY label) AS n
+SELECT row_id, arg_max(label, (n // 4, label)) AS selected_for FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) AS k, count(*) OVER (PARTITION BY label) AS n
  FROM (SELECT DISTINCT row_id, unnest(labels) AS label FROM labelled)) WHERE (contains(label, '/lang/') OR contains(label, '/flag/')) AND k <= n // 4 GROUP BY row_id""", _LABELLED))
 def x5(spark, sf):
     rows = labelled(spark, sf)

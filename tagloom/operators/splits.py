@@ -128,7 +128,8 @@ def quota_mine(raw: DataFrame, needed: DataFrame, row_id: str, labels: str = "la
     A row with a label that is still open is always taken, so a label is filled by the first ``need`` rows that
     carry it, whatever other labels do; the rows taken are all of these.  Rows are counted per label and range of
     ids, running sums show the range in which each quota fills, and only the rows of those ranges are numbered.
-    ``selected_for`` is the first of the labels, by name, that the row counted for.  Ids are whole numbers.
+    ``selected_for`` is the label with the largest need (ties: the last by name) that the row counted for.  Ids are
+    whole numbers.
     """
     wanted = needed.where("need > 0").groupBy("label").agg(F.max("need").alias("need"))
     bounds = raw.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
@@ -143,7 +144,8 @@ def quota_mine(raw: DataFrame, needed: DataFrame, row_id: str, labels: str = "la
     place = F.row_number().over(Window.partitionBy("label").orderBy(row_id))
     first = filling.withColumn("_k", place).where(F.col("_k") <= F.col("room"))
     taken = whole.select(row_id, "label").union(first.select(row_id, "label"))
-    return raw.join(taken.groupBy(row_id).agg(F.min("label").alias("selected_for")), row_id)
+    largest = taken.join(wanted, "label").groupBy(row_id).agg(F.max(F.struct("need", "label"))["label"].alias("selected_for"))
+    return raw.join(largest, row_id)
 
 
 def per_label_sample(rows: DataFrame, k: int, seed: int, row_id: str = "row_id", labels: str = "labels") -> DataFrame:
