@@ -47,3 +47,15 @@ def test_long_empty_and_null_texts(spark):
     plain, composed = both(spark, texts)
     assert plain == [t if t is None else folded(t) for t in texts]
     assert composed == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_long_common_text_does_not_go_through_the_tables(spark):
+    import time
+
+    text = "Größe und Maß, señor, «déjà vu» … 'plain words and no marks' – " * 60_000
+    both(spark, ["warm ü"])
+    start = time.time()
+    plain, composed = both(spark, [text])
+    took = time.time() - start
+    assert plain == [folded(text)] and composed == [text]
+    assert took < 12  # four million characters: 0.5 s each; range by range it was more than 20 s
