@@ -16,8 +16,10 @@ def with_spelling_noise(df: DataFrame, text: str, row_id: str, rate: float, seed
     tag = F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"), F.lit("|"))
 
     def op(pos: Column) -> Column:  # 0 swap, 1 delete, 2 duplicate, 3 none
-        d = F.conv(F.substring(F.md5(F.concat(tag, pos.cast("string"))), 1, 3), 16, 10).cast("int")
-        return F.when(d < cut, d % 3).otherwise(3)
+        d = F.substring(F.md5(F.concat(tag, pos.cast("string"))), 1, 3)
+        # three hexadecimal digits order as their numbers do: only the few drawn ones are converted
+        drawn = d < f"{cut:03x}" if cut < 4096 else F.lit(True)
+        return F.when(drawn, F.conv(d, 16, 10).cast("int") % 3).otherwise(3)
 
     # both arrays are columns of their own: the lambdas below read them by index
     drawn = df.withColumn("_chars", F.split(F.coalesce(F.col(text), F.lit("")), "")) \
