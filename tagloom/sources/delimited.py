@@ -79,19 +79,31 @@ def list_exports(spark: SparkSession, folder: str, limit: int | None = None, off
     return found if limit is None else found.limit(limit)
 
 
+def _export(path: Column, parts: bool) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "") if parts else path
+
+
 def row_counts(spark: SparkSession, folder: str, *, separator: str = ";", limit: int | None = None,
-               offset: int = 0) -> DataFrame:
+               offset: int = 0, parts: bool = False) -> DataFrame:
     """Records per file -- a line break in quotes ends none -- for one page of the folder.
 
+    With ``parts`` an export is a folder of part files, as Spark writes them, and is counted as one; a large export
+    is then read by many tasks.
+
     Without ``limit`` and ``offset`` the whole folder is counted in one job; else the page is narrowed before
     anything is counted, and only its file names reach the driver.
     """
-    path = F.col("_metadata.file_path")
+    path = _export(F.col("_metadata.file_path"), parts)
     if limit is None and not offset:
         everything = _reader(spark, separator).option("recursiveFileLookup", True).csv(folder)
-        exports = everything.select(path.alias("path")).where(F.lower("path").rlike(r"\.csv(\.gz)?$"))
+        exports = everything.where(F.lower("_metadata.file_path").rlike(r"\.csv(\.gz)?$")).select(path.alias("path"))
         return exports.groupBy("path").agg(F.count("*").alias("rows")).orderBy("path")
-    page = [r["path"] for r in list_exports(spark, folder, limit, offset).collect()]
+    if parts:
+        found = list_exports(spark, folder).select(_export(F.col("path"), parts).alias("path")).distinct().orderBy("path").offset(offset)
+        found = found if limit is None else found.limit(limit)
+    else:
+        found = list_exports(spark, folder, limit, offset)
+    page = [r["path"] for r in found.collect()]
     if not page:
         return spark.createDataFrame([], "path string, rows long")
     df = _reader(spark, separator).csv(page)

@@ -23,3 +23,13 @@ def test_counted_as_exploded(spark, spec):
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_of_several_parts_is_one(spark, tmp_path):
+    rows = spark.createDataFrame([(x, f'a "b";\nc{i}') for x in "pqr" for i in range(7)], "lang string, text string")
+    rows.repartition(5).write.partitionBy("lang").option("sep", ";").option("header", True).option("escape", '"').csv(str(tmp_path / "e"))
+    got = delimited.row_counts(spark, str(tmp_path / "e"), limit=2, offset=1, parts=True).collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["rows"]) for r in got] == [("lang=q", 7), ("lang=r", 7)]
+    whole = delimited.row_counts(spark, str(tmp_path / "e"), parts=True).collect()
+    assert [r["path"].rsplit("/", 1)[-1] for r in whole] == ["lang=p", "lang=q", "lang=r"]
+    assert delimited.row_counts(spark, str(tmp_path / "e"), offset=9, parts=True).count() == 0
