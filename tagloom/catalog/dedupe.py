@@ -10,6 +10,7 @@ from ..operators import corrections as co
 from ..operators import dedupe as op
 from ..operators import metrics
 from ..plans.load import load
+from ..session import cut_lineage
 from ..sources.commits import AppendTable
 from .labels import SPEC, labelled, loaded, prepared
 from .registry import Catalog
@@ -53,7 +54,7 @@ def j4(spark, sf):
     from dataclasses import replace
 
     from ..session import beside
-    done = load(items(spark, sf), replace(SPEC, synthetic_rows="exclude"))
+    done = load(items(spark, sf), replace(SPEC, synthetic_rows="exclude"), stage=True)  # rows and counters read the cleaned texts
     return beside(done.rows.agg(F.count("*").alias("kept_rows")), done.counters)
 
 

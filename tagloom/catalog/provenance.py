@@ -53,7 +53,7 @@ _FLAGS = _CLASSES + """, flags AS (SELECT c.label, count(l.item_id) FILTER (WHER
 
 @add("p4_scorable_and_thin", with_views("loaded", "SELECT label, real_rows, real_rows > 0 AS scorable, real_rows < 20 AS thin FROM flags", _FLAGS))
 def p4(spark, sf):
-    rows = loaded(spark, sf)
+    rows = cut_lineage(loaded(spark, sf).select("row_id", "labels", "mark"))  # support and summary read them again
     return op.real_support(rows, lab.support(rows), 20)
 
 
@@ -64,7 +64,7 @@ SELECT 'train' AS mode, count(*) FILTER (WHERE mark & 1 > 0) AS generated_rows,
  coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM flags WHERE real_rows = 0), '') AS labels_not_validated,
  coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM flags WHERE real_rows < 20), '') AS thin_labels FROM loaded""", _FLAGS))
 def p5(spark, sf):
-    rows = loaded(spark, sf)
+    rows = cut_lineage(loaded(spark, sf).select("row_id", "labels", "mark"))  # support and summary read them again
     return op.summary(rows, lab.support(rows), 0, 20)
 
 
