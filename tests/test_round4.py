@@ -33,3 +33,10 @@ def test_export_of_several_parts_is_one(spark, tmp_path):
     whole = delimited.row_counts(spark, str(tmp_path / "e"), parts=True).collect()
     assert [r["path"].rsplit("/", 1)[-1] for r in whole] == ["lang=p", "lang=q", "lang=r"]
     assert delimited.row_counts(spark, str(tmp_path / "e"), offset=9, parts=True).count() == 0
+
+
+def test_unseen_texts_read_stored_keys(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i % 5}") for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = jq.j7(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+    assert "md5" not in out._jdf.queryExecution().executedPlan().toString()
