@@ -36,9 +36,11 @@ def correction_lines(spark, sf, folder: str, repeat: bool) -> None:
     out.repartition(4, "pos").select("value").write.text(folder)
 
 
-def documents_in_blocks(spark, sf, folder: str, blocks: int = 3, files: int = 4):
+def documents_in_blocks(spark, sf, folder: str, blocks: int = 3, files: int | None = None):
     """``documents`` in blocks that arrive in id order; a block is written by several tasks and read by one trigger."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    if files is None:  # a block has as many files as its share of the table has splits, so that a file stays small
+        files = max(4, -(-docs.rdd.getNumPartitions() // blocks))
     last = docs.agg(F.max("row_id")).first()[0]  # one number
     for i in range(blocks):
         lo, hi = (last + 1) * i // blocks, (last + 1) * (i + 1) // blocks
