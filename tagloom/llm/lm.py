@@ -41,7 +41,7 @@ SHARDS = 8
 ROUNDS = 4
 BATCH = 2048
 NOISE = 128
-#: steps of one shard in one round: four visits to its tokens, at most this many
+#: steps that the tokens of one shard are dealt to in one round, four visits at most; every triple adds one more place
 MAX_STEPS = 500
 RATE = 0.08
 
@@ -235,25 +235,31 @@ def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 def train_shard(model: Model, keys: np.ndarray, n: np.ndarray, stretch: np.ndarray, rate: float, seed: int) -> None:
-    """Steps of noise-contrastive estimation on one shard's triples, drawn by their counts."""
+    """Steps of noise-contrastive estimation on one shard's triples, every one with its whole count.
+
+    Each triple takes places in proportion to its count, one at least, and its count is spread evenly over them.
+    """
     base = len(model.r)
     token, one, two = keys % base, keys // base % base, keys // (base * base)
     weight = n * stretch[token]
-    upto = np.cumsum(weight)
     rng = np.random.Generator(np.random.PCG64(seed))
-    steps = int(min(MAX_STEPS, 4 * upto[-1] // BATCH + 1))
+    places = int(min(MAX_STEPS, 4 * weight.sum() // BATCH + 1)) * BATCH
+    copies = np.ceil(weight * (places / weight.sum())).astype(np.int64)
+    dealt = np.repeat(np.arange(len(keys), dtype=np.int32), copies)
+    rng.shuffle(dealt)
+    share = (weight / copies * (len(dealt) / weight.sum())).astype(np.float32)
     noise_upto = np.cumsum(model.noise.astype(float))
     log_noise = np.log(NOISE * model.noise)
     squares = [np.full(a.shape, 1e-8, np.float32) for a in model.arrays()]
-    for _ in range(steps):
-        pick = np.minimum(np.searchsorted(upto, rng.random(BATCH) * upto[-1], "right"), len(keys) - 1)
+    for at in range(0, len(dealt), BATCH):
+        pick = dealt[at:at + BATCH]
         w, u, v = token[pick], two[pick], one[pick]
         fake = np.minimum(np.searchsorted(noise_upto, rng.random(NOISE) * noise_upto[-1], "right"), base - 2)
         h = model.hidden(u, v)
         real_gap = np.einsum("ij,ij->i", h, model.q[w]) + model.b[w] - log_noise[w]
         fake_gap = h @ model.q[fake].T + model.b[fake] - log_noise[fake]
-        up = (1 / (1 + np.exp(np.clip(real_gap, -30, 30)))).astype(np.float32)
-        down = (1 / (1 + np.exp(np.clip(-fake_gap, -30, 30)))).astype(np.float32)
+        up = (1 / (1 + np.exp(np.clip(real_gap, -30, 30)))).astype(np.float32) * share[pick]
+        down = (1 / (1 + np.exp(np.clip(-fake_gap, -30, 30)))).astype(np.float32) * share[pick, None]
         gh = up[:, None] * model.q[w] - down @ model.q[fake]
         gb, gc, gr, gq = (np.zeros_like(a) for a in model.arrays())
         _add_rows(gq, w, up[:, None] * h)
@@ -263,7 +269,7 @@ def train_shard(model: Model, keys: np.ndarray, n: np.ndarray, stretch: np.ndarr
         _add_rows(gr, u, gh * model.c[0])
         _add_rows(gr, v, gh * model.c[1])
         for a, g, s in zip(model.arrays(), (gb, gc, gr, gq), squares, strict=True):
-            g /= BATCH
+            g /= len(pick)
             s += g * g
             a += rate * g / np.sqrt(s)
 

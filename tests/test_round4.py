@@ -40,3 +40,16 @@ def test_unseen_texts_read_stored_keys(spark, tmp_path):
     out = jq.j7(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
     assert "md5" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_triple_is_trained(monkeypatch):
+    monkeypatch.setattr(lm, "MAX_STEPS", 1)
+    n = 440
+    voc = lm.Vocabulary(10_000, n, 10, np.arange(n, dtype=np.uint64), np.full(n, 20), np.ones(lm.SHAPES), np.ones(lm.SHAPES))
+    model, base = lm.Model(voc), voc.outputs + 1
+    two, one, token = (a.ravel() for a in np.meshgrid(np.arange(n), np.arange(10), np.array([3]), indexing="ij"))
+    counts = np.ones(len(two))
+    counts[0] = 10_000_000.0  # all draws by count would be of this one
+    before = model.r.copy()
+    lm.train_shard(model, (two * base + one) * base + token, counts, np.ones(base), 0.08, 1)
+    assert (model.r[:n] != before[:n]).any(axis=1).all()
