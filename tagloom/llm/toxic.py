@@ -29,6 +29,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,9 @@ MOST_TEXTS = 30
 #: units longer than this are read in overlapping stretches
 LONGEST = 40
 KEPT_UNITS = 250_000
+#: stretches whose features are held at a time, in tasks and in training, which runs on the driver beside the session
+HELD = 8_000
+HELD_IN_TRAINING = 1_000
 _SYMBOLS = 40
 #: letters in one subsequence
 ORDER = 4
@@ -163,7 +167,7 @@ class Model:
     shift: float
 
 
-def unit_margins(units: list[str], model: Model) -> np.ndarray:
+def unit_margins(units: list[str], model: Model, held: int = HELD) -> np.ndarray:
     """Distance of each unit from the machine's border; the worst stretch of a long unit counts."""
     stretches, owner = [], []
     for i, u in enumerate(units):
@@ -171,9 +175,9 @@ def unit_margins(units: list[str], model: Model) -> np.ndarray:
         stretches += parts
         owner += [i] * len(parts)
     out = np.full(len(units), -np.inf)
-    for at in range(0, len(stretches), 8_000):
-        value = Features(stretches[at:at + 8_000]).dot(model.table) + model.bias
-        np.maximum.at(out, owner[at:at + 8_000], value)
+    for at in range(0, len(stretches), held):
+        value = Features(stretches[at:at + held]).dot(model.table) + model.bias
+        np.maximum.at(out, owner[at:at + held], value)
     return out
 
 
@@ -181,7 +185,9 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-
     """Linear squared-hinge machine by accelerated gradient steps; the last column of x is constant."""
     w = np.zeros(x.shape[1])
     ahead, before, t = w.copy(), w.copy(), 1.0
-    curve = 2 * np.linalg.norm((x * np.sqrt(weight)[:, None]).T @ (x * np.sqrt(weight)[:, None]), 2) + cost
+    scaled = x * np.sqrt(weight)[:, None]
+    curve = 2 * np.linalg.norm(scaled.T @ scaled, 2) + cost
+    del scaled
     for _ in range(steps):
         gap = np.maximum(0, 1 - y * (x @ ahead))
         w = ahead - (cost * ahead - 2 * x.T @ (weight * y * gap)) / curve
@@ -190,6 +196,12 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-
     return w
 
 
+def _in_parts(stretches: list[list[int]]) -> Iterator[Features]:
+    """Features of a bounded number of stretches at a time, in order."""
+    for at in range(0, len(stretches), HELD_IN_TRAINING):
+        yield Features(stretches[at:at + HELD_IN_TRAINING])
+
+
 def _fit_units(toxic: dict[str, float], clean: dict[str, float], seed: int) -> Model:
     """Machine over units that weigh by the number of texts they stand for."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -198,17 +210,22 @@ def _fit_units(toxic: dict[str, float], clean: dict[str, float], seed: int) -> M
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     weight = np.array([toxic[u] for u in sorted(toxic)] + [clean[u] for u in sorted(clean)])
     half = LANDMARKS // 2
-    near = Features(first)
-    centre = np.bincount(near.key[y[near.row] > 0], near.weight[y[near.row] > 0], _TABLE)
-    alike = np.argsort(-near.dot(centre)[len(toxic):], kind="stable")[:half // 2]  # clean units most like toxic ones
+    centre = np.zeros(_TABLE)
+    for part in _in_parts(first[:len(toxic)]):
+        np.add.at(centre, part.key, part.weight)
+    likeness = np.concatenate([part.dot(centre) for part in _in_parts(first[len(toxic):])])
+    alike = np.argsort(-likeness, kind="stable")[:half // 2]  # clean units most like toxic ones
     chosen = [*rng.permutation(len(toxic))[:half].tolist(), *(len(toxic) + alike).tolist(),
               *(len(toxic) + rng.permutation(len(clean))[:half // 2]).tolist()]
     landmarks = Features([first[i] for i in chosen])
     values, vectors = np.linalg.eigh(landmarks.against(landmarks))
     good = values > 1e-6
     project = vectors[:, good] / np.sqrt(values[good])
-    x = np.concatenate([Features(first[at:at + 8_000]).against(landmarks) @ project for at in range(0, len(first), 8_000)])
-    w = _machine(np.column_stack((x, np.ones(len(x)))), y, weight)
+    x, at = np.ones((len(first), project.shape[1] + 1)), 0
+    for part in _in_parts(first):
+        x[at:at + part.n, :-1] = part.against(landmarks) @ project
+        at += part.n
+    w = _machine(x, y, weight)
     alpha = project @ w[:-1]
     table = np.bincount(landmarks.key, landmarks.weight * alpha[landmarks.row], _TABLE)
     return Model(table.astype(np.float32), float(w[-1]), 1.0, 0.0)
@@ -252,13 +269,13 @@ def cover(bags: list[list[str]], common: Counter, least: int) -> list[str]:
 
 
 def _margins(units: list[str], model: Model) -> dict[str, float]:
-    return dict(zip(units, unit_margins(units, model).tolist(), strict=True))
+    return dict(zip(units, unit_margins(units, model, HELD_IN_TRAINING).tolist(), strict=True))
 
 
 def fit(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Model | None:
     """Multiple-instance training from whole labelled texts; None without toxic texts."""
-    bags = [sorted(units_of(t)) for t in toxic_texts]
-    clean_bags = [sorted(units_of(t)) for t in clean_texts]
+    one: dict[str, str] = {}  # a unit of many texts is held once
+    bags, clean_bags = ([[one.setdefault(u, u) for u in sorted(units_of(t))] for t in texts] for texts in (toxic_texts, clean_texts))
     if not any(bags):
         return None
     there = Counter(u for b in clean_bags for u in b)
