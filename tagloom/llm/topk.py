@@ -1,17 +1,17 @@
-"""Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
+"""Exact top-k by inner product: products of matrices, leaf by leaf of a ball tree.
 
 Vectors are put into shards of about SHARD rows by a digest of the id, queries into blocks of about
-BLOCK rows; both are packed into one matrix per row, so the work is one task per (shard, block).  In a
-shard every node of the ball tree has a centre, a radius and its smallest id; the inner product of
-a query with any member is at most  q . centre + |q| * radius.  A search visits nodes by that bound
-from the highest and stops below the query's current kth score.
+BLOCK rows; both are packed into one matrix per row, of the narrowest integers that hold it.  A unit of work is
+a shard and GROUP blocks, so that a shard travels once for all of them.  In a shard every leaf of the ball tree
+has a centre and a radius; the inner product of a query with any member is at most  q . centre + |q| * radius.  A leaf
+is multiplied with the queries whose bound is not below their current kth score, all at once.
 
 Shards are searched in waves.  The first wave takes one shard per block; its kth scores travel with
-the blocks into the second wave, where all other shards start from them and skip nearly all nodes.
+the blocks into the second wave, where all other shards start from them, so that few products have to be looked at.
 Each (shard, query) returns at most k rows, and the best k of them are taken by a window.
 
-Components are integers, floor(64 * x), held at +-2^62; scores are exact: in float64 while they stay below
-2^53, else in Python integers, held at the bounds of a long.  Ties go to the smaller id, so nodes whose bound equals the kth score are still visited.
+Components are integers, floor(64 * x), held at +-2^62; scores are exact: in float32 while they stay below 2^24, in
+float64 below 2^53, else in Python integers, held at the bounds of a long.  Ties go to the smaller id.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, rows with a null id
 neither.  Vectors are compared with those of the same length.  Equal vectors and rows with equal ids
@@ -20,7 +20,6 @@ are candidates one by one; a query never meets rows of its own id.  Other column
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from math import ceil
 
@@ -28,90 +27,94 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tagloom.llm.staging import staged
 
-SHARD = 8192
+#: rows of a shard; of long vectors fewer, so that a shard has not more than CELLS components
+SHARD, CELLS = 32768, 1 << 21
 BLOCK = 2048
-LEAF = 64
+#: blocks that meet a shard in one unit
+GROUP = 8
+LEAF = 1024
+#: queries that are multiplied with a leaf at a time
+STEP = 512
 
 
 class BallTree:
     """Nodes in arrays; leaves are stretches of the reordered rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, kind: type = float) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order].astype(float)
-        self.low, self.high, self.left, self.right = [], [], [], []
-        self.centre, self.radius, self.first = [], [], []
+        self.ids, self.rows = ids[order], rows[order].astype(kind)
+        self.low, self.high, self.centre, self.radius = [], [], [], []
         if len(ids):
             self._split(np.arange(len(ids)))
-        self.centre = np.array(self.centre).reshape(-1, rows.shape[1])
-        self.radius, self.first = np.array(self.radius), np.array(self.first)
+        self.centre = np.array(self.centre, float).reshape(-1, rows.shape[1])
+        self.radius = np.array(self.radius)
 
     def _split(self, members: np.ndarray) -> None:
-        """Build breadth-first, without recursion; members are halved along the widest spread."""
-        todo, leaves = [(members, -1, 0)], []
+        """Build without recursion; members are halved along the widest spread, and stay in order of their ids in a leaf."""
+        todo, leaves = [members], []
         while todo:
-            some, parent, side = todo.pop()
-            me = len(self.low)
-            if parent >= 0:
-                (self.right if side else self.left)[parent] = me
+            some = todo.pop()
             part = self.rows[some]
-            centre = part.mean(axis=0)
+            centre = part.mean(axis=0, dtype=float)
             gap = np.sqrt(((part - centre) ** 2).sum(axis=1))
-            self.centre.append(centre), self.radius.append(float(gap.max())), self.first.append(int(self.ids[some].min()))
-            self.low.append(-1), self.high.append(-1), self.left.append(-1), self.right.append(-1)
             if len(some) <= LEAF or gap.max() == 0:
-                leaves.append((me, np.sort(some)))
+                leaves.append(np.sort(some))
+                self.centre.append(centre), self.radius.append(float(gap.max()))
                 continue
             far = part[int(gap.argmax())]
             other = part[int(((part - far) ** 2).sum(axis=1).argmax())]
             along = part @ (far - other)
             middle = len(some) // 2
             order = np.argpartition(along, middle)
-            todo += [(some[order[:middle]], me, 0), (some[order[middle:]], me, 1)]
-        at, moved = 0, []
-        for me, some in leaves:
-            self.low[me], self.high[me] = at, at + len(some)
-            at += len(some)
-            moved.append(some)
-        order = np.concatenate(moved)
+            todo += [some[order[:middle]], some[order[middle:]]]
+        ends = np.cumsum([len(some) for some in leaves])
+        self.low, self.high = [0, *ends[:-1].tolist()], ends.tolist()
+        order = np.concatenate(leaves)
         self.ids, self.rows = self.ids[order], self.rows[order]
 
-    def search(self, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
-        """Up to k best (score, id) of score >= least, without rows of the id ``own``."""
-        if not len(self.ids):
-            return []
-        length = float(np.sqrt(query @ query))
-        bounds = self.centre @ query + length * self.radius
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query (its place), score and id of up to k best rows of each query, of score >= ``least``, without rows of the id ``own``."""
+        if not len(self.ids) or not len(queries):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        whole = queries.astype(float)
+        bounds = whole @ self.centre.T + np.sqrt((whole ** 2).sum(axis=1))[:, None] * self.radius
         bounds += 1e-9 * (1 + np.abs(bounds))
-        best: list[tuple[float, int]] = []  # heap of (score, -id): the worst kept one on top
-        todo = [(-bounds[0], 0)]
-        while todo:
-            bound, node = heapq.heappop(todo)
-            floor = best[0][0] if len(best) == k else least
-            if -bound < floor:
-                break
-            if self.low[node] < 0:
-                for child in (self.left[node], self.right[node]):
-                    if bounds[child] >= floor:
-                        heapq.heappush(todo, (-bounds[child], child))
-                continue
-            if len(best) == k and self.radius[node] == 0 and self.first[node] > -best[0][1] and -bound <= floor:
-                continue  # equal vectors, all later by id
-            part = slice(self.low[node], self.high[node])
-            score, ids = self.rows[part] @ query, self.ids[part]
-            good = np.flatnonzero((score >= floor) & (ids != own))
-            if len(good) > k:
-                good = good[np.lexsort((ids[good], -score[good]))[:k]]
-            for s, i in zip(score[good].tolist(), ids[good].tolist(), strict=True):
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-        return [(int(s), -i) for s, i in best]
+        queries = queries.astype(self.rows.dtype)
+        floor, best = least.astype(float), np.full((len(queries), k), -np.inf)
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for leaf in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            rows, ids = self.rows[self.low[leaf]:self.high[leaf]], self.ids[self.low[leaf]:self.high[leaf]]
+            able = np.flatnonzero(bounds[:, leaf] >= floor)
+            for at in range(0, len(able), STEP):
+                some = able[at:at + STEP]
+                score = queries[some] @ rows.T
+                first, last = np.searchsorted(ids, own[some]), np.searchsorted(ids, own[some], "right")
+                for i in np.flatnonzero(last > first).tolist():
+                    score[i, first[i]:last[i]] = -np.inf
+                good = score >= np.maximum(floor[some], np.finfo(score.dtype).min)[:, None].astype(score.dtype)
+                many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+                if len(many):  # only the k best of the leaf matter; the kth of all so far is a limit from now on
+                    top = np.partition(score[many], -k, axis=1)[:, -k:]
+                    good[many] = score[many] >= top.min(axis=1)[:, None]
+                    best[some[many]] = np.partition(np.concatenate((best[some[many]], top), axis=1), -k, axis=1)[:, -k:]
+                    floor[some[many]] = np.maximum(floor[some[many]], best[some[many]].min(axis=1))
+                i, j = np.nonzero(good)
+                found.append(_first(some[i], score[i, j].astype(float), ids[j], k))
+        return _first(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+
+
+def _first(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    query = query[order]
+    start = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    order = order[rank < k]
+    return query[rank < k], score[order], ids[order]
 
 
 def integral(vector: Column) -> Column:
@@ -128,22 +131,46 @@ def integral(vector: Column) -> Column:
 
 
 def _packed(rows: DataFrame, group: Column, name: str) -> DataFrame:
-    """One row per (dims, group): ids and components side by side."""
-    return (rows.groupBy("dims", group.cast("int").alias(name))
-            .agg(F.collect_list(F.struct("id", "v")).alias("members"))
-            .select("dims", name, F.col("members.id").alias(f"{name}_ids"), F.flatten("members.v").alias(f"{name}_values")))
-
+    """``dims, <name>, ids, kind, cells`` per group: its vectors side by side, as integers of the type ``kind``."""
+    dealt = rows.select("dims", group.cast("int").alias(name), "id", "v").repartition("dims", name).sortWithinPartitions("dims", name)
+    schema = StructType([StructField("dims", IntegerType()), StructField(name, IntegerType()), StructField("ids", ArrayType(LongType())),
+                         StructField("kind", StringType()), StructField("cells", BinaryType())])
+
+    def one(key: tuple[int, int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, cells = (np.concatenate(c) for c in zip(*parts, strict=True))
+        low, high = int(cells.min()), int(cells.max())
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        values = ([key[0]], [key[1]], [ids], [np.dtype(kind).str], [cells.astype(kind).tobytes()])
+        types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], schema.names)
 
-_FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for batch in batches:
+            dims, of, ids = (batch.column(c).to_numpy() for c in range(3))
+            cells = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(dims, dtype=np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], (dims[1:] != dims[:-1]) | (of[1:] != of[:-1])))) if len(dims) else []
+            for low, high in zip(starts, [*starts[1:], len(dims)], strict=True):
+                key = (int(dims[low]), int(of[low]))
+                if key != held and parts:
+                    yield one(held, parts)
+                    parts = []
+                held = key
+                parts.append((ids[low:high], cells[ends[low] - dims[low]:ends[high - 1]]))
+        if parts:
+            yield one(held, parts)
+
+    return dealt.mapInArrow(run, schema)
 
 
-def _matrix(column: pa.Array, i: int, dims: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+_FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
 
 
-def _exact(rows: np.ndarray, queries: np.ndarray) -> bool:
-    high = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1]
-    return high < 2 ** 52
+def _kind(rows: np.ndarray, queries: np.ndarray) -> type | None:
+    """The floats in which the products are exact; None if there are none."""
+    high = max(1.0, float(np.abs(rows.astype(float)).max(initial=0))) * max(1.0, float(np.abs(queries.astype(float)).max(initial=0))) * rows.shape[1]
+    return np.float32 if high < 2 ** 24 else np.float64 if high < 2 ** 52 else None
 
 
 def _plain(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
@@ -154,29 +181,39 @@ def _plain(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: in
     return [(-s, i) for s, i in scores[:k] if -s >= least]
 
 
-def _searched(tasks: DataFrame, k: int) -> DataFrame:
+def _searched(asked: DataFrame, packed: DataFrame, units: int, k: int) -> DataFrame:
+    """What the blocks of ``asked`` (with the ``shard`` they are to meet and their ``floors``) find in the shards."""
+    blocks = asked.withColumn("unit", F.floor(F.col("block") / GROUP).cast("int"))
+    # a shard goes to a unit once, and comes before its blocks there
+    shards = packed.join(blocks.select("dims", "shard", "unit").distinct(), ["dims", "shard"])
+    columns = ["dims", "shard", "unit", "at", "ids", "kind", "cells", "floors"]
+    both = shards.withColumns({"at": F.lit(-1), "floors": F.lit(None).cast(ArrayType(LongType()))}).select(columns).union(
+        blocks.withColumn("at", F.col("block")).select(columns))
+    dealt = both.repartition(max(1, min(2 * units, 100_000)), "dims", "shard", "unit").sortWithinPartitions("dims", "shard", "unit", "at")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
+        own_ids, rows, trees = None, None, {}
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                dims = col["dims"][i].as_py()
-                key = (dims, col["shard"][i].as_py())
-                ids, queries = col["block_ids"][i].values.to_numpy(), _matrix(col["block_values"], i, dims)
-                if key != last:
-                    own_ids, rows = col["shard_ids"][i].values.to_numpy(), _matrix(col["shard_values"], i, dims)
-                    last, tree = key, BallTree(own_ids, rows)
-                exact = _exact(rows, queries)
-                floors = col["floors"][i].as_py()
-                out: list[tuple[int, int, int]] = []
-                for j in range(len(ids)):
-                    least = -np.inf if floors is None or floors[j] is None else floors[j]
-                    one = (tree.search(queries[j].astype(float), int(ids[j]), k, least) if exact
-                           else _plain(own_ids, rows, queries[j], int(ids[j]), k, least))
-                    out += [(int(ids[j]), v, s) for s, v in one]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
+                ids = col["ids"][i].values.to_numpy()
+                cells = np.frombuffer(col["cells"][i].as_buffer(), col["kind"][i].as_py()).reshape(len(ids), -1)
+                if col["at"][i].as_py() < 0:
+                    own_ids, rows, trees = ids, cells, {}
+                    continue
+                kind = _kind(rows, cells)
+                floors = col["floors"][i].as_py() or [None] * len(ids)
+                least = [-np.inf if x is None else x for x in floors]
+                if kind is None:
+                    out = [(int(ids[j]), v, s) for j in range(len(ids)) for s, v in _plain(own_ids, rows, cells[j], int(ids[j]), k, least[j])]
+                    cols = list(zip(*out, strict=True)) or [(), (), ()]
+                else:
+                    tree = trees.get(kind) or trees.setdefault(kind, BallTree(own_ids, rows, kind))
+                    query, score, vec = tree.search(cells, ids, k, np.array(least, float))
+                    cols = [ids[query], vec, score.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _FOUND.names)
-    return tasks.mapInArrow(run, _FOUND)
+
+    return dealt.mapInArrow(run, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -191,7 +228,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                   .where("v is not null").withColumn("dims", F.size("v")))
     sizes = {r["dims"]: (r["n"], r["q"]) for r in
              rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
-    shards = {d: max(1, ceil(n / SHARD)) for d, (n, _) in sizes.items()}
+    shards = {d: max(1, ceil(n / max(1, min(SHARD, CELLS // d)))) for d, (n, _) in sizes.items()}
     blocks = {d: max(1, ceil(q / BLOCK)) for d, (_, q) in sizes.items()}
 
     def per_dims(numbers: dict[int, int]) -> Column:
@@ -205,16 +242,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = staged(_packed(rows.where("asks").withColumn("deal", F.xxhash64(F.lit(3), "id")), F.pmod("deal", per_dims(blocks)), "block"))
     home = F.pmod(F.col("block"), per_dims(shards)).cast("int")
     no_floor = F.lit(None).cast(ArrayType(LongType()))
-    first = asked.withColumn("shard", home).withColumn("floors", no_floor).join(packed, ["dims", "shard"])
-    opening = staged(_best(_searched(first, k), k).drop("rank"))
+    opening = staged(_best(_searched(asked.withColumn("shard", home).withColumn("floors", no_floor), packed, sum(blocks.values()), k), k).drop("rank"))
     # the kth score of each query so far, laid beside the block's ids
     kth = opening.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    flat = asked.select("dims", "block", F.posexplode("block_ids").alias("pos", "query_id")).join(kth, "query_id", "left")
+    flat = asked.select("dims", "block", F.posexplode("ids").alias("pos", "query_id")).join(kth, "query_id", "left")
     floors = (flat.groupBy("dims", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "kth"))).alias("f"))
               .select("dims", "block", F.col("f.kth").alias("floors")))
     others = F.explode(F.filter(F.sequence(F.lit(0), per_dims(shards) - 1), lambda s: s != home)).alias("shard")
-    second = asked.join(floors, ["dims", "block"]).select("*", others).withColumn("shard", F.col("shard").cast("int")).join(packed, ["dims", "shard"])
-    spread = max(1, sum(blocks[d] * shards[d] for d in shards))
-    tasks = second.repartition(min(spread, 100_000), "dims", "shard", "block").sortWithinPartitions("dims", "shard")
-    found = opening.union(_searched(tasks, k))
+    second = asked.join(floors, ["dims", "block"]).select("*", others).withColumn("shard", F.col("shard").cast("int"))
+    units = sum(shards[d] * ceil(blocks[d] / GROUP) for d in shards)
+    found = opening.union(_searched(second, packed, units, k))
     return _best(found, k).select("query_id", F.col("rank").cast(IntegerType()).alias("rank"), "vec_id", "score")
