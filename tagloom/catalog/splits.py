@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..operators import splits as op
+from ..session import cut_lineage
 from .labels import labelled
 from .registry import Catalog
 from .views import items, sql_labels, table, with_views
@@ -97,13 +98,12 @@ miss AS (SELECT doc_id, CAST(floor(1000.0 * count(*) FILTER (WHERE k.w IS NULL)
 SELECT doc_id, oov, row_number() OVER (ORDER BY oov DESC, md5(concat('42|', doc_id)), doc_id) AS rn, count(*) OVER () AS n FROM miss) WHERE rn <= n // 4""")
 def x7_oov(spark, sf):
     docs = table(spark, sf, "documents")
-    tokens = docs.repartition("doc_id").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
-    known = (docs.where("doc_id % 2 = 0").select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-             .groupBy("w").agg(F.count("*").alias("df")).where("df >= 2").select("w", F.lit(1).alias("known")))
-    # counted per (document, word) first, so a frequent word is one row per document in the join
-    per = (tokens.groupBy("doc_id", "w").agg(F.count("*").alias("n")).join(known, "w", "left")
-           .groupBy("doc_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("miss")))
-    share = per.select("doc_id", F.floor(F.lit(1000.0) * F.col("miss") / F.col("all")).alias("oov"))
+    texts = docs.select("doc_id", F.split(F.lower("text"), " ").alias("words"))
+    known = (texts.where("doc_id % 2 = 0").select(F.explode(F.array_distinct("words")).alias("w"))
+             .groupBy("w").agg(F.count("*").alias("df")).where("df >= 2"))
+    per = op.unknown_words(texts, known, "doc_id", "words")
+    # stored once: the share is read for its histogram, its cut and its ties
+    share = cut_lineage(per.select("doc_id", F.floor(F.lit(1000.0) * F.col("miss") / F.col("all")).alias("oov")))
     return op.lowest_share(share, "oov", "doc_id", 42, 0.25, descending=True).select("doc_id", "oov")
 
 
